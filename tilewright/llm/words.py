@@ -24,7 +24,7 @@ def powers(n: int) -> np.ndarray:
     out = np.ones(max(n, 1), np.uint64)
     k = 1
     while k < n:
-        step = out[k - 1] * _R
+        step = out[k - 1 : k] * _R
         m = min(k, n - k)
         out[k : k + m] = out[:m] * step
         k += m
