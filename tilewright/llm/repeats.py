@@ -120,7 +120,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return wanted.join(docs, "key").withColumn("context", F.substring(F.col("text").cast("binary"), start, size)).drop("text")
 
 
-def repeated_windows(docs: DataFrame, length: int = 400, most_in_bucket: int = 256) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 400, most_in_bucket: int = 4096) -> DataFrame:
     """Rows (key, lo, hi): starts lo to hi of windows of `length` bytes that also start elsewhere; key is of (doc_id, text).
 
     1. Each text's windows are dealt to anchors (`anchors`); a row holds the anchor's hash and a 128-bit digest of the
