@@ -151,7 +151,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, most_in_bucket: int = 4
 
     rows = written(docs.mapInArrow(scan, "ah bigint, f1 bigint, f2 bigint, key bigint, at int, s0 int, s1 int"), "anchors")
     shared = rows.groupBy("ah").agg(F.count("*").alias("c"), F.min("f1").alias("f_low"), F.max("f1").alias("f_high")).where("c > 1")
-    shared = shared.select("ah", (F.col("f_low") == F.col("f_high")).alias("alike"))
+    shared = written(shared.select("ah", (F.col("f_low") == F.col("f_high")).alias("alike")), "anchors")  # so that the join below is a plain one, whose hot keys can be split
     met = written(rows.join(shared, "ah"), "shared")
     alike = met.where("alike").select("key", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
 

@@ -254,7 +254,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
     near = scanned.where("a is not null").select("a", "b").unionByName(met)
 
     members = scanned.where("sig is not null").select("doc_id", "n", "sig")
-    first = members.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    first = written(members.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "first")
     of = written(members.join(first, "sig", "left").select("doc_id", "n", "rep"), "classes")
     rep_of = of.where("rep is not null").select("doc_id", "rep").distinct()
     named = near.join(rep_of.withColumnsRenamed({"doc_id": "a", "rep": "ra"}), "a").join(rep_of.withColumnsRenamed({"doc_id": "b", "rep": "rb"}), "b")
