@@ -56,9 +56,10 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     """48-bit keys of each set's blocks, and the set's place: any two sets that link share a key.
 
     In a size class whose largest set has h members, linked sets differ in D = 2 (100 - p) h / (100 + p) members at most.
-    Members fall into D + 1 + E blocks by their hash, so E + 1 blocks agree or more. A block under 3 members is weak
-    and gives a key only where a set has more than E of them: else one of the agreeing blocks is strong in both sets.
-    A set stands in its own class and in those of all larger sets that it may link with.
+    Members fall into D + 1 + E blocks by their hash, so E + 1 blocks agree or more. A set gives keys for its blocks of
+    w members or more, w the largest of 0 to 3 that leaves out E blocks at most: whichever set has the larger w, one of
+    the agreeing blocks has that many members, and both give its key. A set stands in its own class and in those of all
+    larger sets that it may link with.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     keys, owners = [], []
@@ -87,9 +88,10 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         total = np.zeros(len(count), U)
         total[filled] = np.add.reduceat(mix(tokens ^ U(0x14057B7EF767814F))[order], starts)
         owner = np.repeat(np.arange(len(use)), parts)
-        weak = count < 3
-        many = np.bincount(owner[weak], minlength=len(use)) > spare
-        keep = ~weak | many[owner]
+        least = np.zeros(len(use), np.int64)
+        for w in (1, 2, 3):
+            least[np.bincount(owner[count < w], minlength=len(use)) <= spare] = w
+        keep = count >= least[owner]
         number = np.arange(len(count)) - first[owner]
         key = mix(total + mix((number.astype(U) << U(20)) + kind[use][owner].astype(U)))
         keys.append(key[keep] >> U(16))
@@ -170,6 +172,61 @@ def t_occurrence(sets: list[np.ndarray], percent: int, long_share: float = 0.02)
     return links
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """Counts of a set's members in CELLS cells; two sets differ in no fewer members than these counts differ in sum."""
+    cells = (mix(members ^ U(0x2545F4914F6CDD1D)) >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=CELLS), 65535).astype("<u2")
+
+
+CELLS = 256
+
+
+def near_by_sketch(ids: list[int], sizes: np.ndarray, cells: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Forest of the pairs that their sketches don't rule out: sums of 8 cells first, then all cells."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, cells = sizes[order], cells[order].astype(np.int32)
+    coarse = cells.reshape(len(ids), -1, 8).sum(2)
+    groups, root, out = Groups(len(ids)), np.arange(len(ids)), []
+    for i in range(len(ids)):
+        end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
+        may = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+        if not len(may):
+            continue
+        most = (100 - percent) * (sizes[i] + sizes[may]) // (100 + percent)
+        for table in (coarse, cells):
+            fit = np.abs(table[may] - table[i]).sum(1) <= most
+            may, most = may[fit], most[fit]
+        new = [j for j in may.tolist() if groups.join(i, j)]
+        if new:
+            out += [(ids[order[i]], ids[order[j]]) for j in new]
+            root = np.array([groups.find(k) for k in range(len(ids))])
+    return out
+
+
+def _refined(grouped: DataFrame, sketches: DataFrame, percent: int, most_in_task: int, most_sketches: int = 4096) -> DataFrame:
+    """`grouped` (node, component) with components of more than `most_in_task` nodes split where sketches allow no link.
+
+    Such a component's sketches meet block by block, every pair of blocks in a task of its own; texts stay where they are.
+    """
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > most_in_task)
+    large = written(grouped.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / most_sketches).cast("int")), "large")
+    if large.isEmpty():
+        return grouped
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
+    dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = dealt.select(F.col("node").alias("doc_id"), F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, sizes = group.column("doc_id").to_pylist(), group.column("n").to_numpy()
+        cells = np.stack([np.frombuffer(x, "<u2") for x in group.column("sketch").to_pylist()])
+        pairs = near_by_sketch(ids, sizes, cells, percent)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    edges = sketches.join(tasks, "doc_id").groupBy("task").applyInArrow(run, "a bigint, b bigint")
+    parts = components(edges)
+    return grouped.join(large.select("component").distinct(), "component", "left_anti").select("node", "component").unionByName(parts)
+
+
 def _search(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) among the documents that `tasks` (id, task) brings together."""
 
@@ -191,7 +248,8 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Two documents link if their sets of `width`
     word shingles have a Jaccard similarity of `percent` or more. One scan of the texts yields each set's digest and its
     block keys, packed and combined within a task; equal keys give candidate links, and their connected components
-    hold every true link. Equal sets are one document from there on. Each candidate component goes to one task, or, if
+    hold every true link. Equal sets are one document from there on. Large components are split where counts in cells rule
+    all links out. Each candidate component goes to one task, or, if
     it has more than `most_in_task` documents, to several, each with the component's first document; what is not in the
     component's largest part after that is searched against all of it, block by block. So no link is lost, and no task
     holds an unbounded group. doc_id is the key: repeated rows of one id count once in links and come back each.
@@ -224,7 +282,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
             for part in slices(batch, "text"):
                 ids = part.column(0).to_pylist()
                 sets = shingle_sets(part.column(1).to_pylist(), width)
-                yield batch_of(doc_id=ids, n=[len(s) for s in sets], sig=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets])
+                yield batch_of(doc_id=ids, n=[len(s) for s in sets], sig=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], sketch=[sketch(s).tobytes() for s in sets])
                 known = [(i, s) for i, s in zip(ids, sets, strict=True) if i is not None]
                 keys, owner = block_keys([s for _, s in known], percent)
                 if len(keys):
@@ -236,7 +294,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
             yield from pack()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = written(rows.mapInArrow(scan, "doc_id bigint, n bigint, sig binary, range int, blob binary, a bigint, b bigint"), "scanned")
+    scanned = written(rows.mapInArrow(scan, "doc_id bigint, n bigint, sig binary, sketch binary, range int, blob binary, a bigint, b bigint"), "scanned")
 
     def meet(batches):
         parts = [decoded(x) for batch in batches for x in batch.column("blob").to_pylist()]
@@ -259,7 +317,8 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
     rep_of = of.where("rep is not null").select("doc_id", "rep").distinct()
     named = near.join(rep_of.withColumnsRenamed({"doc_id": "a", "rep": "ra"}), "a").join(rep_of.withColumnsRenamed({"doc_id": "b", "rep": "rb"}), "b")
     candidates = named.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    grouped = written(components(candidates), "candidates")
+    sketches = scanned.where("sig is not null and doc_id is not null").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    grouped = written(_refined(written(components(candidates), "candidates"), sketches, percent, most_in_task), "candidates")
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / most_in_task).cast("int"))
     placed = written(grouped.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
     key = F.concat_ws(":", "component", "part")
@@ -286,7 +345,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
 def batch_of(**columns) -> pa.RecordBatch:
     """A batch of the scan's schema with these columns, the others null."""
     n = len(next(iter(columns.values())))
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "range": pa.int32(), "blob": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "sketch": pa.binary(), "range": pa.int32(), "blob": pa.binary(), "a": pa.int64(), "b": pa.int64()}
     return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
