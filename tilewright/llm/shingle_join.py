@@ -238,7 +238,7 @@ def _search(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> Data
         links = t_occurrence(sets, percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(tasks, "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(tasks.hint("merge"), "id")  # the same plan at every size
     return texts.groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
