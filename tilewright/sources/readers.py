@@ -15,27 +15,32 @@ DATE_PATTERN = "yyyy-MM-dd HH:mm:ss"
 _SHAPE = "struct<wkb:binary,env:struct<minx:double,miny:double,maxx:double,maxy:double>,npoints:int,dim:int>"
 
 
-@F.pandas_udf(_SHAPE)
-def _parsed(text):
-    import pandas as pd
+def parsed(wkt: Column | str) -> Column:
+    """WKB, envelope, points and dimension of WKT; all null for what is no valid geometry or is a collection."""
 
-    from ..functions import geometry as G
+    @F.pandas_udf(_SHAPE)
+    def run(text):
+        import pandas as pd
+
+        from ..functions import geometry as G
+
+        rows = []
+        for t in text:
+            g = G.from_wkt(t) if t else None
+            if g is None or not g[1] or g[0] == "GEOMETRYCOLLECTION" or not G.coordinates(g) or not G.is_valid(g):
+                rows.append((None, None, None, None))
+                continue
+            e = dict(zip(("minx", "miny", "maxx", "maxy"), G.envelope(g), strict=True))
+            rows.append((G.to_wkb(g), e, len(G.coordinates(g)), G.dimension(g)))
+        return pd.DataFrame(rows, columns=["wkb", "env", "npoints", "dim"])
 
-    rows = []
-    for t in text:
-        g = G.from_wkt(t) if t else None
-        if g is None or not g[1] or g[0] == "GEOMETRYCOLLECTION" or not G.coordinates(g) or not G.is_valid(g):
-            rows.append((None, None, None, None))
-            continue
-        e = dict(zip(("minx", "miny", "maxx", "maxy"), G.envelope(g), strict=True))
-        rows.append((G.to_wkb(g), e, len(G.coordinates(g)), G.dimension(g)))
-    return pd.DataFrame(rows, columns=["wkb", "env", "npoints", "dim"])
+    return run(wkt)
 
 
 def entities(rows: DataFrame, date_pattern: str | None = None) -> DataFrame:
     """Entities from rows (id, wkt, date); unparsable, empty or invalid geometries and collections are dropped."""
     date = F.try_to_timestamp(F.col("date"), F.lit(date_pattern or DATE_PATTERN)) if "date" in rows.columns else F.lit(None).cast("timestamp")
-    shaped = rows.where("id is not null and wkt is not null").select(F.col("id").cast("string").alias("id"), _parsed("wkt").alias("g"), date.alias("ts"))
+    shaped = rows.where("id is not null and wkt is not null").select(F.col("id").cast("string").alias("id"), parsed("wkt").alias("g"), date.alias("ts"))
     return shaped.where("g.wkb is not null").select("id", "g.wkb", "g.env", "g.npoints", "g.dim", "ts")
 
 
