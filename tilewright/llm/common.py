@@ -90,10 +90,10 @@ def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
         if sign == before or sign["n"] == 0:
             break
         before = sign
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "large")
+        turned = now.select(F.col("v").alias("u"), F.col("u").alias("v"))  # u > v in `now`: here are the larger neighbours
+        least = now.unionByName(turned).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        large = turned.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large, "large")  # one row an edge; the repeats go with those of the small step
         down = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(down, F.col("u") == F.col("k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))

@@ -168,7 +168,7 @@ def t_occurrence(sets: list[np.ndarray], percent: int, long_share: float = 0.02)
         new = [(q, r) for r in good.tolist() if groups.join(q, r)]
         if new:
             links += new
-            root = np.array([groups.find(i) for i in range(n)])
+            root[np.isin(root, root[[q, *(r for _, r in new)]])] = groups.find(q)
     return links
 
 
@@ -199,7 +199,7 @@ def near_by_sketch(ids: list[int], sizes: np.ndarray, cells: np.ndarray, percent
         new = [j for j in may.tolist() if groups.join(i, j)]
         if new:
             out += [(ids[order[i]], ids[order[j]]) for j in new]
-            root = np.array([groups.find(k) for k in range(len(ids))])
+            root[np.isin(root, root[[i, *new]])] = groups.find(i)
     return out
 
 
@@ -227,8 +227,8 @@ def _refined(grouped: DataFrame, sketches: DataFrame, percent: int, most_in_task
     return grouped.join(large.select("component").distinct(), "component", "left_anti").select("node", "component").unionByName(parts)
 
 
-def _search(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among the documents that `tasks` (id, task) brings together."""
+def _search(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among the `texts` (id, text, task) of each task."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_pylist()
@@ -238,7 +238,6 @@ def _search(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> Data
         links = t_occurrence(sets, percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(tasks.hint("merge"), "id")  # the same plan at every size
     return texts.groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
@@ -321,10 +320,12 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
     grouped = written(_refined(written(components(candidates), "candidates"), sketches, percent, most_in_task), "candidates")
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / most_in_task).cast("int"))
     placed = written(grouped.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
+    # The only shuffle of all texts; those of candidates are kept, for both searches. The same plan at every size.
+    held = written(rows.withColumnRenamed("doc_id", "id").join(placed.withColumnRenamed("node", "id").hint("merge"), "id"), "held")
     key = F.concat_ws(":", "component", "part")
-    leads = sizes.where("parts > 1").select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("component").alias("id"), key.alias("task"))
-    tasks = placed.select(F.col("node").alias("id"), key.alias("task")).unionByName(leads).distinct()
-    links = written(_search(rows, tasks, width, percent), "links")
+    leads = held.where("id = component and parts > 1").select("id", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")).where("to != part")
+    own = held.select("id", "text", key.alias("task")).unionByName(leads.select("id", "text", F.concat_ws(":", "component", "to").alias("task")))
+    links = written(_search(own, width, percent), "links")
 
     split = placed.where("parts > 1").select("node", "component", "parts", "part")
     if not split.isEmpty():
@@ -337,7 +338,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
         asking = rest.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         asked = now.join(blocks, "component").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part")
         more = asking.unionByName(asked).select(F.col("node").alias("id"), F.concat_ws(":", "component", "block", "part").alias("task")).distinct()
-        links = links.unionByName(written(_search(rows, more, width, percent), "links"))
+        links = links.unionByName(written(_search(held.select("id", "text").join(more.hint("merge"), "id"), width, percent), "links"))
     whole = components(links).withColumnsRenamed({"node": "rep"})
     return of.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
