@@ -288,6 +288,19 @@ def test_embeddings(spark, data):
     assert embedding_dedup.near_duplicates(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).count() == len(odd)
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.035])
+def test_embeddings_in_a_crowd(spark, noise):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64))
+    x[:1000] = x[0] / np.linalg.norm(x[0]) + noise * rng.standard_normal((1000, 64))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(rows).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (x @ x.T >= 0.95).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert truth.sum() > 100 and (found <= truth).all() and found.sum() >= 0.99 * truth.sum()
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")
