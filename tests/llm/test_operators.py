@@ -194,6 +194,16 @@ def test_html_held_out_and_odd(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_every_class_word():
+    many = " ".join(f"is-{w}" for w in WORDS[:10])
+    told = f"<p>{'Told at length. ' * 9}</p>"
+    page = f"<article>{told}<div {{}}>{'Words beside it. ' * 9}</div>{told}</article>"
+    for before, last in (('class="{} sidebar"', "sidebar"), ('class="{}" id="comments"', "comments"), ('class="{}" role="navigation"', "navigation")):
+        assert f".{last}" in html_text.leaf_blocks(page.format(before.format(many)))[1][1]
+        texts = [html_text.main_text(page.format(before.format(w)), html_text.trained()) for w in (many, "")]
+        assert texts[0] == texts[1]
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, text_of(rng, n)) for i, n in enumerate([5, 9, 16, 40, 60])] + [(7, "too short"), (8, None)]

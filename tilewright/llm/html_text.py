@@ -84,7 +84,7 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
                     break
         if name not in VOID and not m[3].endswith("/"):
             words = [w for a, b, c in _NAMES.findall(m[3]) for w in _PARTS.findall((a or b or c).lower())] if "=" in m[3] else []
-            stack.append((name, (f"<{name}>", *(f".{w}" for w in words[:8]))))
+            stack.append((name, (f"<{name}>", *(f".{w}" for w in words))))
     flush()
     return out
 
