@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -204,6 +205,35 @@ def test_html_keeps_every_class_word():
         assert texts[0] == texts[1]
 
 
+def windowed(text, item):
+    """The best similarity of any item-sized window, and its first start."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (text.split(), item.split()))
+    best = (0, 0)
+    for s in range(max(1, len(a) - len(b) + 1)):
+        x, y = Counter(a[s : s + len(b)]), Counter(b)
+        best = max(best, ((x & y).total() / (x | y).total(), -s))
+    return best[0], -best[1]
+
+
+def test_decontamination_of_edited_copies(spark):
+    rng = random.Random(21)
+    items = [(i, text_of(rng, n)) for i, n in enumerate([55, 30, 40, 80])]
+    first = items[0][1].split()
+    docs = [" ".join([text_of(rng, 60), *first[:25], "in", *first[25:54], "in", "out", first[54], text_of(rng, 60)])]
+    for _ in range(400):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randint(0, 2)] = ["new"] * rng.randint(0, 2)
+        docs.append(" ".join([text_of(rng, rng.randint(0, 30)), *words, text_of(rng, rng.randint(0, 30))]))
+    truth = {(d, i): windowed(text, item) for d, text in enumerate(docs) for i, item in items}
+    truth = {k: v for k, v in truth.items() if v[0] >= 0.8}
+    rows, b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.window_start) for r in decontaminate.find_leaks(rows, b).collect()}
+    assert (0, 0) in truth and set(got) == set(truth)
+    assert all(got[k] == (pytest.approx(v[0]), v[1]) for k, v in truth.items())
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, text_of(rng, n)) for i, n in enumerate([5, 9, 16, 40, 60])] + [(7, "too short"), (8, None)]

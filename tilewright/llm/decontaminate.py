@@ -46,14 +46,9 @@ def fixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def least_run(n: int, similarity: float) -> int:
-    """Shingles that line up without a break, at least, if a window of `n` has that similarity to an item of `n`.
-
-    Both sides then share s >= 2 t / (1 + t) n shingles; each break between runs costs SHINGLE - 1 of the rest or more.
-    """
-    shared = 2 * similarity / (1 + similarity) * n
-    breaks = int((n - shared + 1e-9) // (SHINGLE - 1))
-    return max(1, int(shared / (breaks + 1)))
+def least_shared(n: Column, size: Column, similarity: float) -> Column:
+    """Shingles of a window that stand in an item of `n`, at least, if the two have that similarity; a text of `size` < n is one window."""
+    return F.greatest(F.lit(1), F.ceil(similarity * (n + F.least(n, size)) / (1 + similarity) - 1e-9)).cast("int")
 
 
 def block_values(fingerprint: str) -> list[tuple[int, str]]:
@@ -67,8 +62,9 @@ def block_values(fingerprint: str) -> list[tuple[int, str]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, most_listed: int = 50_000) -> DataFrame:
     """Rows (doc_id, item_id, similarity, hamming, window_start, window_words): each item that a document repeats.
 
-    A document's windows are as long as an item, in words, and lie where shingles of an item of that length line up
-    in a run that `similarity` cannot do without. Each window's SimHash is matched with those of all items of its
+    A document's windows are as long as an item, in words, and hold as many shingles of items of that length as
+    `similarity` cannot do without. Of those only the ones that end in such a shingle, or start the text, are tried: any
+    other has one to its left that is no worse, so an item's best window, the first of equals, is among them. Each window's SimHash is matched with those of all items of its
     length: blocks of the fingerprint, with up to radius // 7 bits flipped on the items' side, find every item within
     `radius`; then the multiset similarity of the shingles, at least `similarity`, decides. The best window of each
     item stays. (Copies of 0.8 differ in 10 of 64 bits on average; 20 is 3.5 standard deviations more.)
@@ -80,7 +76,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     count once, ids that stand for different texts keep their best window. Empty tables: empty. Other columns are left out.
     """
     items = written(shingled(benchmark.select("item_id", "text").where("text is not null")).where("size(hashes) > 0").select("item_id", "hashes").distinct(), "items")
-    index = items.select("item_id", F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "h")).groupBy("h", "n", "at").agg(F.count("*").alias("items")).drop("items")
+    index = items.select(F.size("hashes").alias("n"), F.explode("hashes").alias("h")).distinct()
     listed = index.select("h").distinct().limit(most_listed + 1).collect()
     base = shingled(docs.select("doc_id", "text").where("text is not null")).select("doc_id", row_key("doc_id", "text").alias("key"), "hashes")
     if len(listed) <= most_listed:
@@ -91,13 +87,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     else:
         held = written(base, "held")
         found = held.select("key", F.size("hashes").alias("size"), F.posexplode("hashes").alias("pos", "h"))
-    lined = found.join(index, "h").select("key", "n", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n"))).alias("start"))
-    runs = lined.groupBy("key", "n", "start").agg(F.count("*").alias("run"))
-    lengths = [r["n"] for r in items.select(F.size("hashes").alias("n")).distinct().collect()]
-    needed = F.lit(1)
-    for n in lengths:
-        needed = F.when(F.col("n") == n, least_run(n, similarity)).otherwise(needed)
-    windows = runs.where(F.col("run") >= needed).groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
+    lined = found.join(index, "h").groupBy("key", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"), F.max("size").alias("size"))
+    lined = fixed(lined, "need", least_shared(F.col("n"), F.col("size"), similarity)).where("size(p) >= need")
+    starts = F.expr("transform(p, (x, i) -> IF(get(p, i - need + 1) > x - n, greatest(0, x - n + 1), NULL))")
+    windows = lined.select("key", "n", F.explode(F.array_distinct(starts)).alias("start")).where("start is not null")
+    windows = windows.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
     placed = held.select("key", "doc_id", "hashes").distinct().join(windows, "key").select("key", "doc_id", "hashes", F.inline("windows"))
     placed = fixed(placed, "a", F.expr("slice(hashes, start + 1, n)")).drop("hashes")
     marked = fixed(placed, "f", F.expr(_SIMHASH.format(h="a")))
