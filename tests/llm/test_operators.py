@@ -205,6 +205,11 @@ def test_html_keeps_every_class_word():
         assert texts[0] == texts[1]
 
 
+def test_html_keeps_math_and_object():
+    page = "<article><p>Here <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>a+b tex</annotation></math> is the sum.</p><object data='x'><p>Shown instead.</p></object></article>"
+    assert [b[0] for b in html_text.leaf_blocks(page)] == ["Here a+b is the sum.", "Shown instead."]
+
+
 def windowed(text, item):
     """The best similarity of any item-sized window, and its first start."""
     a, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (text.split(), item.split()))
