@@ -90,19 +90,58 @@ def test_jaccard(spark, most):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_jaccard(rows, 4, 85)
 
 
-def test_jaccard_blocks_lose_no_link():
+def test_jaccard_rarest_members_lose_no_link():
     rng = np.random.default_rng(2)
-    for _ in range(200):
-        n = int(rng.integers(2, 400))
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
-        cut = int(rng.integers(0, max(1, n * 8 // 100) + 1))
+    levels = rng.integers(0, 4, 1 << shingle_join.CELL_BITS).astype(np.uint8)
+    for _ in range(300):
+        n, percent = int(rng.integers(1, 300)), int(rng.choice([80, 85]))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+        cut = int(rng.integers(0, n * 12 // 100 + 1))
         b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, cut + 2)), dtype=np.int64).astype(np.uint64)]))
         shared = len(np.intersect1d(a, b))
-        if len(a) == shared == len(b) or 100 * shared < 85 * (len(a) + len(b) - shared):
-            continue
-        keys, owner = shingle_join.block_keys([a, b], 85)
-        assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
-        assert np.abs(shingle_join.sketch(a).astype(int) - shingle_join.sketch(b)).sum() <= len(a) + len(b) - 2 * shared
+        if 100 * shared >= percent * (len(a) + len(b) - shared):
+            keys, owner = shingle_join.rarest([a, b], levels, percent)
+            assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
+
+
+def test_merge_skip():
+    rng = random.Random(11)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(30), rng.randint(1, 20))) for _ in range(rng.randint(1, 12))]
+        least = rng.randint(1, 12)
+        count = Counter(x for one in lists for x in one)
+        assert list(shingle_join.merge_skip(lists, least)) == sorted((x, c) for x, c in count.items() if c >= least)
+
+
+def test_t_occurrence_is_the_forest():
+    rng = random.Random(12)
+    for _ in range(60):
+        base = [[rng.randrange(10**6) for _ in range(rng.randint(1, 40))] for _ in range(3)]
+        sets = []
+        for _ in range(rng.randint(2, 25)):
+            words = list(rng.choice(base))
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = rng.randrange(10**6)
+            sets.append(np.unique(np.array(words, np.uint64)))
+        for percent in (60, 85):
+            up = shingle_join.Groups(len(sets))
+            for i, x in enumerate(sets):
+                for j in range(i):
+                    both = len(np.intersect1d(x, sets[j]))
+                    if 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                        up.join(i, j)
+            got = shingle_join.Groups(len(sets))
+            for i, j in shingle_join.t_occurrence(sets, percent):
+                assert got.join(i, j)
+            assert [got.find(i) for i in range(len(sets))] == [up.find(i) for i in range(len(sets))]
+
+
+def test_jaccard_two_texts_of_one_id(spark):
+    rng = random.Random(13)
+    x, y, z = (text_of(rng, 40) for _ in range(3))
+    rows = [(5, x), (5, y), (2, x + " tail"), (9, y + " tail"), (7, z), (7, z), (8, None), (8, z), (None, z), (1, " ")]
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in shingle_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[:-1] == [(False, 1, 1), (False, 2, 2), (False, 5, 2), (False, 5, 2), (False, 7, 7), (False, 7, 7), (False, 8, 7), (False, 8, 8), (False, 9, 2)] and got[-1][1] is None
 
 
 def test_jaccard_odd(odd):

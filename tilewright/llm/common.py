@@ -49,7 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def quoted(df: DataFrame) -> str:
@@ -76,16 +86,16 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
         yield batch.slice(start)
 
 
-def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """Connected components of (`a`, `b`) links: rows (`node`, `component`) with each component's smallest node.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of (`a`, `b`) links: a written table of rows (`node`, `component`), the smallest node of each.
 
-    Alternating large-star and small-star steps; every step is a pair of shuffles, nothing is collected but
-    two counters. A hub is one key of a plain join, which adaptive execution can split.
+    Alternating large-star and small-star steps until nothing changes; every step is a pair of shuffles, nothing is
+    collected but two counters. A hub is one key of a plain join, which adaptive execution can split. Each step's table
+    is deleted when the next one is written.
     """
-    spark = edges.sparkSession
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if sign == before or sign["n"] == 0:
             break
@@ -97,9 +107,11 @@ def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(down, F.col("u") == F.col("k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        now = written(small.distinct(), "small")
-    else:
-        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+        small = written(small.distinct(), "small")
+        discard(now, large)
+        now = small
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     tops = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return nodes.unionByName(tops)
+    out = written(nodes.unionByName(tops), "components")
+    discard(now)
+    return out

@@ -1,19 +1,25 @@
-"""N-gram Jaccard join: pigeonhole blocks bring documents together, T-occurrence search with divided lists links them."""
+"""N-gram Jaccard join: inverted lists of each set's rarest members find candidates, T-occurrence search with divided lists links them."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, slices, written
+from .common import components, discard, prepare, slices, written
 from .words import mix, split_words
 
 U = np.uint64
-RANGES = 64
+#: Cells of the table of member counts: 4 MB as it is sent to the tasks, whatever the input. Its parts are summed apart.
+CELL_BITS, PARTS = 22, 64
+#: Postings that a task gathers before it merges equal ones.
+POSTINGS = 2_000_000
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -41,64 +47,59 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def size_class(s: np.ndarray | int) -> np.ndarray:
-    """Number of the size class of a set; classes grow by a quarter."""
-    return np.searchsorted(_TOPS, s, side="left")
+def cells_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U(64 - CELL_BITS)).astype(np.int64)
 
 
-_TOPS = [6]
-while _TOPS[-1] < 1 << 40:
-    _TOPS.append(max(_TOPS[-1] + 1, _TOPS[-1] * 5 // 4))
-_TOPS = np.array(_TOPS)
+def member_levels(rows: DataFrame, width: int) -> np.ndarray:
+    """For each cell of the hash space, how common its members are: 0 to 255, eight levels to each doubling.
 
+    All documents count. Tasks emit their counts in PARTS compressed parts, which are added part by part as they stream in;
+    only the levels, a byte a cell, reach the driver.
+    """
+    size = (1 << CELL_BITS) // PARTS
+
+    def count(batches):
+        total = np.zeros(1 << CELL_BITS, np.uint32)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text").to_pylist(), width)
+                total += np.bincount(cells_of(np.concatenate(sets)), minlength=len(total)).astype(np.uint32)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        used = [k for k in range(PARTS) if total[k * size : (k + 1) * size].any()]
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([pack(total[k * size : (k + 1) * size].tobytes()) for k in used], pa.binary())], names=["part", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for k, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(unpack(blob), np.uint32).astype(np.int64)
+        levels = {k: np.minimum(8 * np.log2(np.maximum(v, 1)), 255).astype(np.uint8).tobytes() for k, v in sums.items()}
+        yield pa.record_batch([pa.array(list(levels), pa.int32()), pa.array(list(levels.values()), pa.binary())], names=["part", "levels"])
+
+    summed = rows.mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").mapInArrow(add, "part int, levels binary")
+    out = np.zeros((PARTS, size), np.uint8)
+    for r in summed.collect():
+        out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
 
-def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit keys of each set's blocks, and the set's place: any two sets that link share a key.
 
-    In a size class whose largest set has h members, linked sets differ in D = 2 (100 - p) h / (100 + p) members at most.
-    Members fall into D + 1 + E blocks by their hash, so E + 1 blocks agree or more. A set gives keys for its blocks of
-    w members or more, w the largest of 0 to 3 that leaves out E blocks at most: whichever set has the larger w, one of
-    the agreeing blocks has that many members, and both give its key. A set stands in its own class and in those of all
-    larger sets that it may link with.
+def rarest(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members of each set by which others find it, and the sets' places.
+
+    Two sets that link share ceil(p * n) members or more, n the size of either. So if all sets order their members alike,
+    the first n - ceil(p * n) + 1 of each hold a common one. The rarest come first; what many unrelated sets share comes last.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    keys, owners = [], []
-    low = size_class(sizes)
-    high = size_class(sizes * 100 // percent)
-    for step in range(int((high - low).max(initial=0)) + 1):
-        kind = low + step
-        top = _TOPS[np.minimum(kind, len(_TOPS) - 1)]
-        gap = 2 * (100 - percent) * top // (100 + percent)
-        use = np.flatnonzero((kind <= high) & (sizes > 0) & (gap > 0))
-        if not len(use):
-            continue
-        spare = (gap[use] + 1) // 8 + 1
-        parts = gap[use] + 1 + spare
-        n = sizes[use]
-        tokens = np.concatenate([sets[i] for i in use])
-        own = np.repeat(np.arange(len(use)), n)
-        first = np.cumsum(parts) - parts
-        spread = mix(tokens ^ U(0x5851F42D4C957F2D))
-        part = (spread % parts[own].astype(U)).astype(np.int64)
-        cell = first[own] + part
-        order = np.argsort(cell, kind="stable")
-        count = np.bincount(cell, minlength=int(parts.sum()))
-        filled = np.flatnonzero(count)
-        starts = (np.cumsum(count) - count)[filled]
-        total = np.zeros(len(count), U)
-        total[filled] = np.add.reduceat(mix(tokens ^ U(0x14057B7EF767814F))[order], starts)
-        owner = np.repeat(np.arange(len(use)), parts)
-        least = np.zeros(len(use), np.int64)
-        for w in (1, 2, 3):
-            least[np.bincount(owner[count < w], minlength=len(use)) <= spare] = w
-        keep = count >= least[owner]
-        number = np.arange(len(count)) - first[owner]
-        key = mix(total + mix((number.astype(U) << U(20)) + kind[use][owner].astype(U)))
-        keys.append(key[keep] >> U(16))
-        owners.append(use[owner[keep]])
-    if not keys:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+    tokens = np.concatenate([np.zeros(0, U), *sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((tokens, levels[cells_of(tokens)], owner))
+    tokens = tokens[order]
+    wanted = np.where(sizes > 0, sizes + (-percent * sizes // 100) + 1, 0)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = place < wanted[owner]
+    return tokens[keep], owner[keep]
 
 
 class Groups:
@@ -122,12 +123,41 @@ class Groups:
         return True
 
 
+def merge_skip(lists: list[list[int]], least: int):
+    """Pairs (id, count) of the ids that stand in `least` or more of some ascending lists: a heap merge that skips.
+
+    If the least id of all lists stands in too few of them, the `least` - 1 lists with the lowest heads are moved on, by
+    binary search, to the head that then is lowest: nothing below it can stand in enough lists.
+    """
+    heap = [(x[0], k) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    while len(heap) >= least:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        low = top + 1
+        if len(popped) >= least:
+            yield top, len(popped)
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            low = max(low, heap[0][0])
+        for k in popped:
+            at[k] = bisect_left(lists[k], low, at[k])
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
+
+
 def t_occurrence(sets: list[np.ndarray], percent: int, long_share: float = 0.02) -> list[tuple[int, int]]:
     """Links of a spanning forest of the sets whose Jaccard similarity is `percent` or more.
 
-    Each set in turn asks the inverted lists of its members for the sets that occur T times or more, T its least
-    overlap. The L longest lists are set aside (L as DivideSkip chooses it); the short ones are merged by counting, and
-    what reaches T - L is probed for in each long list by binary search. Sets already joined are not asked for again.
+    Each set in turn asks the inverted lists of its members for the later sets that occur T times or more, T its least
+    overlap. Sets that it's joined with already, or whose size rules a link out, leave the lists. Of the rest the L longest
+    are set aside (L as DivideSkip chooses it); the short ones are merged by a heap (`merge_skip`), and what reaches T - L
+    is probed for in each long list by binary search.
     """
     n = len(sets)
     if n < 2:
@@ -142,195 +172,150 @@ def t_occurrence(sets: list[np.ndarray], percent: int, long_share: float = 0.02)
     values = tokens[edge]
     groups, links = Groups(n), []
     root = np.arange(n)
-    for q in range(n):
+    for q in range(n - 1):
         if groups.left == 1:
             break
+        least = -(-percent * int(sizes[q]) // 100)
+        may = (sizes * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes * percent) & (root != root[q])
+        may[: q + 1] = False
+        if not least or not may.any():
+            continue
         at = np.searchsorted(values, sets[q])
         at = at[length[at] > 1]
-        least = -(-percent * int(sizes[q]) // 100)
-        if len(at) < least or not least:
+        if len(at) < least:
             continue
-        at = at[np.argsort(length[at], kind="stable")]
-        aside = min(least - 1, int(least / (long_share * np.log2(length[at[-1]] + 1) + 1)))
-        short, long_ = at[: len(at) - aside], at[len(at) - aside :]
-        spans = length[short]
-        take = np.arange(int(spans.sum())) + np.repeat(edge[short] - np.cumsum(spans) + spans, spans)
-        seen = np.bincount(owner[take], minlength=n)
-        may = np.flatnonzero((seen >= least - aside) & (sizes * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes * percent) & (root != root[q]))
-        if not len(may):
+        spans = length[at]
+        take = np.arange(int(spans.sum())) + np.repeat(edge[at] - np.cumsum(spans) + spans, spans)
+        ids, number = owner[take], np.repeat(np.arange(len(at)), spans)
+        ids, number = ids[may[ids]], number[may[ids]]
+        left = np.bincount(number, minlength=len(at))
+        lists = [x.tolist() for x in np.split(ids, np.cumsum(left)[:-1]) if len(x)]
+        if len(lists) < least:
             continue
-        overlap = seen[may]
-        for k in long_.tolist():
-            ids = owner[edge[k] : edge[k] + length[k]]
-            spot = np.searchsorted(ids, may)
-            overlap = overlap + (ids[np.minimum(spot, len(ids) - 1)] == may)
-        good = may[100 * overlap >= percent * (sizes[q] + sizes[may] - overlap)]
-        new = [(q, r) for r in good.tolist() if groups.join(q, r)]
+        lists.sort(key=len)
+        aside = min(least - 1, int(least / (long_share * np.log2(len(lists[-1]) + 1) + 1)))
+        short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        new = []
+        for r, overlap in merge_skip(short, least - aside):
+            for x in long_:
+                k = bisect_left(x, r)
+                overlap += k < len(x) and x[k] == r
+            if 100 * overlap >= percent * (sizes[q] + sizes[r] - overlap) and groups.join(q, r):
+                new.append(r)
         if new:
-            links += new
-            root[np.isin(root, root[[q, *(r for _, r in new)]])] = groups.find(q)
+            links += [(q, r) for r in new]
+            root[np.isin(root, root[[q, *new]])] = groups.find(q)
     return links
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
-    """Counts of a set's members in CELLS cells; two sets differ in no fewer members than these counts differ in sum."""
-    cells = (mix(members ^ U(0x2545F4914F6CDD1D)) >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(cells, minlength=CELLS), 65535).astype("<u2")
-
-
-CELLS = 256
-
-
-def near_by_sketch(ids: list[int], sizes: np.ndarray, cells: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Forest of the pairs that their sketches don't rule out: sums of 8 cells first, then all cells."""
-    order = np.argsort(sizes, kind="stable")
-    sizes, cells = sizes[order], cells[order].astype(np.int32)
-    coarse = cells.reshape(len(ids), -1, 8).sum(2)
-    groups, root, out = Groups(len(ids)), np.arange(len(ids)), []
-    for i in range(len(ids)):
-        end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
-        may = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
-        if not len(may):
-            continue
-        most = (100 - percent) * (sizes[i] + sizes[may]) // (100 + percent)
-        for table in (coarse, cells):
-            fit = np.abs(table[may] - table[i]).sum(1) <= most
-            may, most = may[fit], most[fit]
-        new = [j for j in may.tolist() if groups.join(i, j)]
-        if new:
-            out += [(ids[order[i]], ids[order[j]]) for j in new]
-            root[np.isin(root, root[[i, *new]])] = groups.find(i)
-    return out
-
-
-def _refined(grouped: DataFrame, sketches: DataFrame, percent: int, most_in_task: int, most_sketches: int = 4096) -> DataFrame:
-    """`grouped` (node, component) with components of more than `most_in_task` nodes split where sketches allow no link.
-
-    Such a component's sketches meet block by block, every pair of blocks in a task of its own; texts stay where they are.
-    """
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > most_in_task)
-    large = written(grouped.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / most_sketches).cast("int")), "large")
-    if large.isEmpty():
-        return grouped
-    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
-    dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select(F.col("node").alias("doc_id"), F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, sizes = group.column("doc_id").to_pylist(), group.column("n").to_numpy()
-        cells = np.stack([np.frombuffer(x, "<u2") for x in group.column("sketch").to_pylist()])
-        pairs = near_by_sketch(ids, sizes, cells, percent)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-    edges = sketches.join(tasks, "doc_id").groupBy("task").applyInArrow(run, "a bigint, b bigint")
-    parts = components(edges)
-    return grouped.join(large.select("component").distinct(), "component", "left_anti").select("node", "component").unionByName(parts)
-
-
 def _search(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among the `texts` (id, text, task) of each task."""
+    """Links (a, b) among the `texts` (id, text, task) of each task; one id's texts are one document."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_pylist()
-        texts = dict(zip(ids, group.column("text").to_pylist(), strict=True))
-        ids = sorted(texts)
-        sets = shingle_sets([texts[i] for i in ids], width)
-        links = t_occurrence(sets, percent)
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
+        rows = sorted({*zip(group.column("id").to_pylist(), group.column("text").to_pylist(), strict=True)}, key=lambda r: (r[0], r[1] or ""))
+        sets = shingle_sets([t for _, t in rows], width)
+        links = [(rows[i][0], rows[j][0]) for i, j in t_occurrence(sets, percent)]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return texts.groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
+def starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their lowest id, and the distinct pairs (lowest id, other id) of a key; `keys` are ascending, ids within."""
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    lead = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+    return keys[first], ids[first], np.unique(np.stack([lead, ids], 1)[lead != ids], axis=0)
+
+
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_task: int = 256) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): the connected components of the similarity join of `docs` (doc_id, text).
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Two documents link if their sets of `width`
-    word shingles have a Jaccard similarity of `percent` or more. One scan of the texts yields each set's digest and its
-    block keys, packed and combined within a task; equal keys give candidate links, and their connected components
-    hold every true link. Equal sets are one document from there on. Large components are split where counts in cells rule
-    all links out. Each candidate component goes to one task, or, if
-    it has more than `most_in_task` documents, to several, each with the component's first document; what is not in the
-    component's largest part after that is searched against all of it, block by block. So no link is lost, and no task
-    holds an unbounded group. doc_id is the key: repeated rows of one id count once in links and come back each.
-
-    Null or empty text, or no words: n_shingles 0, a component of its own. Fewer than `width` words: one shingle, the
-    whole sequence. Very long texts: whole. Null doc_id: never linked. Empty table: empty. Other columns are left out.
+    word shingles have a Jaccard similarity of `percent` or more.
+
+    1. A scan counts all documents' shingles in a table of fixed size, which only orders them (`member_levels`).
+    2. A second scan yields each set's digest and its postings, the rarest shingles (`rarest`). Postings meet in one
+       shuffle by shingle and stream past in order; all holders of a shingle are candidates of the lowest one.
+    3. The connected components of the candidates hold every true link. Equal sets are one document from there on.
+    4. Each component goes to one task (small ones share tasks), or, if it has more than `most_in_task` documents, to
+       several, each with the component's first document; what is not in the component's largest part after that is
+       searched against all of it, block by block. So no link is lost, and no task holds an unbounded group.
+
+    doc_id is the key: repeated rows of one id count once in links and come back each; different texts under one id are
+    one document with all their links, and each row has its own n_shingles. Null or empty text, or no words: n_shingles 0,
+    a component of its own. Fewer than `width` words: one shingle, the whole sequence. Very long texts: whole. Null
+    doc_id: never linked. Empty table: empty. Other columns are left out.
     """
     spark = docs.sparkSession
     prepare(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    levels = member_levels(rows, width)
 
     def scan(batches):
-        blobs: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def pack():
-            nonlocal blobs, held
-            keys, ids = np.concatenate([k for k, _ in blobs]), np.concatenate([i for _, i in blobs])
-            blobs, held = [], 0
+            keys, ids = np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
+            held.clear()
             order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            lead = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            pairs = np.unique(np.stack([lead, ids], 1)[lead != ids], axis=0)
-            keys, ids = keys[first], ids[first]
-            cut = np.searchsorted(keys, np.arange(RANGES + 1, dtype=U) << U(48 - RANGES.bit_length() + 1))
-            rows = [(r, coded(keys[a:b], ids[a:b])) for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-            return batch_of(a=pairs[:, 0], b=pairs[:, 1]), batch_of(range=[r for r, _ in rows], blob=[b for _, b in rows])
+            keys, ids, pairs = starred(keys[order], ids[order])
+            return batch_of(a=pairs[:, 0], b=pairs[:, 1]), batch_of(key=keys.view(np.int64), lead=ids)
 
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column(0).to_pylist()
                 sets = shingle_sets(part.column(1).to_pylist(), width)
-                yield batch_of(doc_id=ids, n=[len(s) for s in sets], sig=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], sketch=[sketch(s).tobytes() for s in sets])
+                yield batch_of(doc_id=ids, n=[len(s) for s in sets], sig=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets])
                 known = [(i, s) for i, s in zip(ids, sets, strict=True) if i is not None]
-                keys, owner = block_keys([s for _, s in known], percent)
+                keys, owner = rarest([s for _, s in known], levels, percent)
                 if len(keys):
-                    blobs.append((keys, np.array([i for i, _ in known], np.int64)[owner]))
-                    held += len(keys)
-                if held > 2_000_000:
+                    held.append((keys, np.array([i for i, _ in known], np.int64)[owner]))
+                if sum(len(k) for k, _ in held) > POSTINGS:
                     yield from pack()
         if held:
             yield from pack()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = written(rows.mapInArrow(scan, "doc_id bigint, n bigint, sig binary, sketch binary, range int, blob binary, a bigint, b bigint"), "scanned")
+    scanned = written(rows.mapInArrow(scan, "doc_id bigint, n bigint, sig binary, key bigint, lead bigint, a bigint, b bigint"), "scanned")
 
     def meet(batches):
-        parts = [decoded(x) for batch in batches for x in batch.column("blob").to_pylist()]
-        if parts:
-            keys, ids = np.concatenate([k for k, _ in parts]), np.concatenate([i for _, i in parts])
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            lead = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            pairs = np.unique(np.stack([lead, ids], 1)[lead != ids], axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    blobs = scanned.where("blob is not null").select("range", "blob")
-    met = blobs.repartition(RANGES, "range").mapInArrow(meet, "a bigint, b bigint")
-    near = scanned.where("a is not null").select("a", "b").unionByName(met)
+        last = lead = None
+        for batch in batches:
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(keys):
+                continue
+            if last == keys[0]:
+                keys, ids = np.concatenate([[last], keys]), np.concatenate([[lead], ids])
+            *_, pairs = starred(keys, ids)
+            last = keys[-1]
+            lead = ids[np.searchsorted(keys, last)]
+            yield pa.record_batch([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+    postings = scanned.where("key is not null").select("key", "lead").repartition("key").sortWithinPartitions("key", "lead")
+    met = postings.mapInArrow(meet, "a bigint, b bigint")
 
     members = scanned.where("sig is not null").select("doc_id", "n", "sig")
     first = written(members.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "first")
     of = written(members.join(first, "sig", "left").select("doc_id", "n", "rep"), "classes")
-    rep_of = of.where("rep is not null").select("doc_id", "rep").distinct()
-    named = near.join(rep_of.withColumnsRenamed({"doc_id": "a", "rep": "ra"}), "a").join(rep_of.withColumnsRenamed({"doc_id": "b", "rep": "rb"}), "b")
-    candidates = named.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    sketches = scanned.where("sig is not null and doc_id is not null").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    grouped = written(_refined(written(components(candidates), "candidates"), sketches, percent, most_in_task), "candidates")
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / most_in_task).cast("int"))
+    equal = of.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    near = components(scanned.where("a is not null").select("a", "b").unionByName(met).unionByName(equal))
+    grouped = written(near.join(first.select(F.col("rep").alias("node")).distinct(), "node"), "candidates")
+    discard(scanned, first, near)
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / most_in_task).cast("int"))
     placed = written(grouped.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
+    discard(grouped)
+    small = placed.where(F.col("size") <= most_in_task // 8).count() // most_in_task + 1
     # The only shuffle of all texts; those of candidates are kept, for both searches. The same plan at every size.
     held = written(rows.withColumnRenamed("doc_id", "id").join(placed.withColumnRenamed("node", "id").hint("merge"), "id"), "held")
-    key = F.concat_ws(":", "component", "part")
+    key = F.when(F.col("size") <= most_in_task // 8, F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(small)))).otherwise(F.concat_ws(":", "component", "part"))
     leads = held.where("id = component and parts > 1").select("id", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")).where("to != part")
     own = held.select("id", "text", key.alias("task")).unionByName(leads.select("id", "text", F.concat_ws(":", "component", "to").alias("task")))
     links = written(_search(own, width, percent), "links")
+    found = [links]
 
     split = placed.where("parts > 1").select("node", "component", "parts", "part")
     if not split.isEmpty():
-        parts = components(links).select("node", F.col("component").alias("joined"))
-        now = written(split.join(parts, "node", "left").withColumn("joined", F.coalesce("joined", "node")), "split")
+        parts = components(links)
+        now = written(split.join(parts.withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node")), "split")
         counts = now.groupBy("component", "joined").agg(F.count("*").alias("size"))
         largest = counts.groupBy("component").agg(F.max_by("joined", F.struct("size", -F.col("joined"))).alias("largest"))
         rest = now.join(largest, "component").where("joined != largest")
@@ -338,31 +323,24 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
         asking = rest.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         asked = now.join(blocks, "component").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part")
         more = asking.unionByName(asked).select(F.col("node").alias("id"), F.concat_ws(":", "component", "block", "part").alias("task")).distinct()
-        links = links.unionByName(written(_search(held.select("id", "text").join(more.hint("merge"), "id"), width, percent), "links"))
-    whole = components(links).withColumnsRenamed({"node": "rep"})
+        found.append(written(_search(held.select("id", "text").join(more.hint("merge"), "id"), width, percent), "links"))
+        links = links.unionByName(found[-1])
+        discard(parts, now)
+    discard(held)
+    several = of.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("doc_id")
+    own_texts = of.join(several, "doc_id").where("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    whole = components(links.unionByName(own_texts)).withColumnsRenamed({"node": "rep"})
+    discard(placed, *found)
     return of.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def batch_of(**columns) -> pa.RecordBatch:
     """A batch of the scan's schema with these columns, the others null."""
     n = len(next(iter(columns.values())))
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "sketch": pa.binary(), "range": pa.int32(), "blob": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "key": pa.int64(), "lead": pa.int64(), "a": pa.int64(), "b": pa.int64()}
     return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
-def coded(keys: np.ndarray, ids: np.ndarray) -> bytes:
-    """Ascending keys as differences and ids as they are, byte planes together so that the writer's compression finds the zeros."""
-    gaps = np.diff(keys, prepend=U(0)).astype("<u8")
-    planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 8).T, ids.astype("<i8").view(np.uint8).reshape(-1, 8).T])
-    return planes.tobytes()
-
-
-def decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(blob, np.uint8).reshape(16, -1)
-    gaps = np.ascontiguousarray(planes[:8].T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=U), np.ascontiguousarray(planes[8:].T).view("<i8").ravel()
-
-
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest doc_id; repeated rows of it: one.
 
