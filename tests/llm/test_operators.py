@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,30 @@ def test_jaccard_rarest_members_lose_no_link():
         if 100 * shared >= percent * (len(a) + len(b) - shared):
             keys, owner = shingle_join.rarest([a, b], levels, percent)
             assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
+            assert len(shingle_join.near_by_sketch([1, 2], np.array([len(a), len(b)]), [shingle_join.odd_sketch(x) for x in (a, b)], percent)) == 1
+
+
+def test_holders_of_a_shingle(monkeypatch):
+    monkeypatch.setattr(shingle_join, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(shingle_join, "MOST_HOLDERS", 5)
+    rng = random.Random(14)
+    for _ in range(100):
+        rows = sorted((rng.randint(0, 6), rng.randint(0, 15)) for _ in range(rng.randint(0, 60)))
+        batches = [pa.record_batch([pa.array([k for k, _ in rows[i : i + 4]], pa.int64()), pa.array([d for _, d in rows[i : i + 4]], pa.int64())], names=["key", "id"]) for i in range(0, len(rows), 4)]
+        told, links = {}, shingle_join.Groups(16)
+        for b in shingle_join.shared_holders(batches):
+            for r in b.to_pylist():
+                if r["g"] is None:
+                    links.join(r["a"], r["b"])
+                else:
+                    told.setdefault(r["g"], set()).add(r["a"])
+        for k in range(7):
+            holders = {d for x, d in rows if x == k}
+            if 1 < len(holders) <= 5:
+                assert holders in told.values()
+            elif holders:
+                assert len({links.find(d) for d in holders}) == 1
+        assert all(1 < len(v) <= 5 for v in told.values())
 
 
 def test_merge_skip():

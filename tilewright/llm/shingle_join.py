@@ -18,8 +18,10 @@ from .words import mix, split_words
 U = np.uint64
 #: Cells of the table of member counts: 4 MB as it is sent to the tasks, whatever the input. Its parts are summed apart.
 CELL_BITS, PARTS = 22, 64
-#: Postings that a task gathers before it merges equal ones.
-POSTINGS = 2_000_000
+#: Bits of a sketch, least and most.
+SKETCH_BITS = (64, 4096)
+#: Rows of the posting stream that are looked at together; holders of a shingle whose sketches are compared, at most.
+ROWS_AT_ONCE, MOST_HOLDERS = 50_000, 4096
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -220,11 +222,108 @@ def _search(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return texts.groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
-def starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their lowest id, and the distinct pairs (lowest id, other id) of a key; `keys` are ascending, ids within."""
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    lead = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-    return keys[first], ids[first], np.unique(np.stack([lead, ids], 1)[lead != ids], axis=0)
+def odd_sketch(members: np.ndarray) -> bytes:
+    """A bit for each cell of the hash space: is its number of members odd? Two sets differ in no fewer members than bits."""
+    bits = SKETCH_BITS[0]
+    while bits < min(2 * len(members), SKETCH_BITS[1]):
+        bits *= 2
+    cells = (mix(members ^ U(0x2545F4914F6CDD1D)) & U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def near_by_sketch(ids: list[int], sizes: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches don't rule a link out.
+
+    Sketches of sets that may link are of one length or of twice that; the longer one is folded.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    width = np.array([len(sketches[i]) for i in order]) // 8
+    own, folded = {}, {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        table = np.frombuffer(b"".join(sketches[order[i]] for i in at), np.uint64).reshape(-1, w)
+        own[w], folded[w] = (int(at[0]), table), (int(at[0]), table[:, : w // 2] ^ table[:, w // 2 :] if w > 1 else table)
+    groups, root, out = Groups(len(ids)), np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        if groups.left == 1:
+            break
+        end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
+        w = int(width[i])
+        mine = own[w][1][i - own[w][0]]
+        new = []
+        for low, table in [own[w], *([folded[2 * w]] if 2 * w in folded else [])]:
+            a, z = max(i + 1, low), min(end, low + len(table))
+            may = a + np.flatnonzero(root[a:z] != root[i]) if a < z else np.zeros(0, np.int64)
+            if len(may):
+                differ = np.bitwise_count(table[may - low] ^ mine).sum(1, dtype=np.int64)
+                new += [j for j in may[differ * (100 + percent) <= (100 - percent) * (sizes[i] + sizes[may])].tolist() if groups.join(i, j)]
+        if new:
+            out += [(ids[order[i]], ids[order[j]]) for j in new]
+            root[np.isin(root, root[[i, *new]])] = groups.find(i)
+    return out
+
+
+def holder_groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending (key, id) rows: for each key with two ids or more a number that depends on its set of ids alone, where its rows start, and how many they are."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    count = np.diff(np.append(first, len(keys)))
+    number = mix(np.add.reduceat(mix(ids.astype(U)), first) + count.astype(U)).view(np.int64)
+    many = count > 1
+    return number[many], first[many], count[many]
+
+
+def shared_holders(batches):
+    """Sets of documents that share a shingle, from (key, id) rows in order: rows (g, a) of the members of set g, each set about once.
+
+    Of a shingle with more than MOST_HOLDERS documents, links (a, b) to the first of them, with g null, stand for all.
+    """
+    seen: set[int] = set()
+    keys, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hot = None  # the key whose holders are linked to their first one, kept as the only row
+
+    def rows(g, a, b):
+        return pa.record_batch([pa.array(g, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["g", "a", "b"])
+
+    def links(at: int, n: int):
+        return rows([None] * (n - 1), ids[at + 1 : at + n], np.full(n - 1, ids[at]))
+
+    def work(last: bool):
+        nonlocal keys, ids, hot
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+        keys, ids = keys[fresh], ids[fresh]
+        end = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+        if end:
+            numbers, starts, counts = holder_groups(keys[:end], ids[:end])
+            chosen = []
+            for g, at, n in zip(numbers.tolist(), starts.tolist(), counts.tolist(), strict=True):
+                if n > MOST_HOLDERS or keys[at] == hot:
+                    yield links(at, n)
+                elif g not in seen:
+                    seen.add(g)
+                    chosen.append((g, at, n))
+            if chosen:
+                n = np.array([c[2] for c in chosen])
+                take = np.arange(int(n.sum())) + np.repeat(np.array([c[1] for c in chosen]) - np.cumsum(n) + n, n)
+                yield rows(np.repeat(np.array([c[0] for c in chosen]), n), ids[take], pa.nulls(len(take)))
+            if len(seen) > 1_000_000:
+                seen.clear()
+        keys, ids = keys[end:], ids[end:]
+        if len(keys) > MOST_HOLDERS:
+            yield links(0, len(keys))
+            hot, keys, ids = keys[0], keys[:1], ids[:1]
+
+    parts, held = [], 0
+    for batch in batches:
+        parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        held += batch.num_rows
+        if held >= ROWS_AT_ONCE:
+            keys, ids = np.concatenate([keys, *[k for k, _ in parts]]), np.concatenate([ids, *[i for _, i in parts]])
+            parts, held = [], 0
+            yield from work(False)
+    keys, ids = np.concatenate([keys, *[k for k, _ in parts]]), np.concatenate([ids, *[i for _, i in parts]])
+    if len(keys):
+        yield from work(True)
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_task: int = 256) -> DataFrame:
@@ -234,8 +333,9 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
     word shingles have a Jaccard similarity of `percent` or more.
 
     1. A scan counts all documents' shingles in a table of fixed size, which only orders them (`member_levels`).
-    2. A second scan yields each set's digest and its postings, the rarest shingles (`rarest`). Postings meet in one
-       shuffle by shingle and stream past in order; all holders of a shingle are candidates of the lowest one.
+    2. A second scan yields each set's digest, sketch and postings, the rarest shingles (`rarest`). Postings meet in one
+       shuffle by shingle and stream past in order (`shared_holders`); holders of a shingle are candidates of each other
+       unless sizes or sketches rule that out (`near_by_sketch`); where very many hold one, all are candidates of the first.
     3. The connected components of the candidates hold every true link. Equal sets are one document from there on.
     4. Each component goes to one task (small ones share tasks), or, if it has more than `most_in_task` documents, to
        several, each with the component's first document; what is not in the component's largest part after that is
@@ -252,54 +352,57 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
     levels = member_levels(rows, width)
 
     def scan(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def pack():
-            keys, ids = np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
-            held.clear()
-            order = np.lexsort((ids, keys))
-            keys, ids, pairs = starred(keys[order], ids[order])
-            return batch_of(a=pairs[:, 0], b=pairs[:, 1]), batch_of(key=keys.view(np.int64), lead=ids)
-
+        first: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column(0).to_pylist()
                 sets = shingle_sets(part.column(1).to_pylist(), width)
-                yield batch_of(doc_id=ids, n=[len(s) for s in sets], sig=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets])
-                known = [(i, s) for i, s in zip(ids, sets, strict=True) if i is not None]
+                sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield batch_of(doc_id=ids, n=[len(s) for s in sets], sig=sigs, sketch=[odd_sketch(s) for s in sets])
+                if len(first) > 100_000:
+                    first.clear()
+                # Of equal sets in a task one is enough: they are linked by their digest.
+                known = [(i, s) for i, s, sig in zip(ids, sets, sigs, strict=True) if i is not None and first.setdefault(sig, i) == i]
                 keys, owner = rarest([s for _, s in known], levels, percent)
                 if len(keys):
-                    held.append((keys, np.array([i for i, _ in known], np.int64)[owner]))
-                if sum(len(k) for k, _ in held) > POSTINGS:
-                    yield from pack()
-        if held:
-            yield from pack()
-
-    scanned = written(rows.mapInArrow(scan, "doc_id bigint, n bigint, sig binary, key bigint, lead bigint, a bigint, b bigint"), "scanned")
-
-    def meet(batches):
-        last = lead = None
-        for batch in batches:
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
-                continue
-            if last == keys[0]:
-                keys, ids = np.concatenate([[last], keys]), np.concatenate([[lead], ids])
-            *_, pairs = starred(keys, ids)
-            last = keys[-1]
-            lead = ids[np.searchsorted(keys, last)]
-            yield pa.record_batch([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
-
-    postings = scanned.where("key is not null").select("key", "lead").repartition("key").sortWithinPartitions("key", "lead")
-    met = postings.mapInArrow(meet, "a bigint, b bigint")
+                    yield batch_of(key=keys.view(np.int64), id=np.array([i for i, _ in known], np.int64)[owner])
+
+    scanned = written(rows.mapInArrow(scan, "doc_id bigint, n bigint, sig binary, sketch binary, key bigint, id bigint"), "scanned")
+    postings = scanned.where("key is not null").select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+    met = written(postings.mapInArrow(shared_holders, "g bigint, a bigint, b bigint"), "met")
+
+    def compare(batches):
+        held = None
+
+        def edges(t: pa.Table):
+            numbers = t.column("g").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])).tolist()
+            ids, sizes, sketches = t.column("a").to_pylist(), t.column("n").to_numpy(), t.column("sketch").to_pylist()
+            out = [p for a, z in zip(starts, [*starts[1:], len(ids)], strict=True) for p in near_by_sketch(ids[a:z], sizes[a:z], sketches[a:z], percent)]
+            return pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+        for batch in batches:  # a set's rows are together; the last set of a batch may go on in the next
+            t = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, t]) if held is not None else t
+            numbers = held.column("g").to_numpy()
+            end = int(np.searchsorted(numbers, numbers[-1])) if len(numbers) else 0
+            if end:
+                yield edges(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield edges(held)
+
+    sketches = scanned.where("sig is not null and doc_id is not null").select(F.col("doc_id").alias("a"), "n", "sketch")
+    asked = met.where("g is not null").select("g", "a").distinct().join(sketches, "a").select("g", "a", "n", "sketch")
+    passed = asked.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a bigint, b bigint")
 
     members = scanned.where("sig is not null").select("doc_id", "n", "sig")
     first = written(members.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "first")
     of = written(members.join(first, "sig", "left").select("doc_id", "n", "rep"), "classes")
     equal = of.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    near = components(scanned.where("a is not null").select("a", "b").unionByName(met).unionByName(equal))
+    near = components(met.where("g is null").select("a", "b").unionByName(passed).unionByName(equal))
     grouped = written(near.join(first.select(F.col("rep").alias("node")).distinct(), "node"), "candidates")
-    discard(scanned, first, near)
+    discard(scanned, met, first, near)
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / most_in_task).cast("int"))
     placed = written(grouped.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
     discard(grouped)
@@ -337,7 +440,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, most_in_t
 def batch_of(**columns) -> pa.RecordBatch:
     """A batch of the scan's schema with these columns, the others null."""
     n = len(next(iter(columns.values())))
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "key": pa.int64(), "lead": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "sketch": pa.binary(), "key": pa.int64(), "id": pa.int64()}
     return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
