@@ -14,10 +14,9 @@ SHINGLE = 5
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 WORDS = r"[^\p{L}\p{N}]+"
 
-_HASHES = (
-    "CASE WHEN size(words) < {k} THEN CAST(array() AS array<bigint>) ELSE "
-    "transform(sequence(0, size(words) - {k}), i -> xxhash64({parts})) END"
-).format(k=SHINGLE, parts=", ".join(f"get(words, i + {j})" for j in range(SHINGLE)))
+#: The sieve that documents' shingles pass before the join: bytes of SIEVE_BITS bits each, and at which bits of a hash its tests read byte and bit.
+SIEVE_BYTES, SIEVE_BITS, SIEVE_PLACES = 1 << 20, 7, ((0, 44), (14, 50), (28, 56), (44, 7))
+
 _SIMHASH = (
     "aggregate(sequence(0, 63), 0L, (f, j) -> f | CASE WHEN "
     "2 * aggregate({h}, 0, (n, x) -> n + CAST(shiftright(x, j) & 1L AS int)) > size({h}) THEN shiftleft(1L, j) ELSE 0L END)"
@@ -34,11 +33,39 @@ ELSE aggregate(
 """
 
 
-def shingled(rows: DataFrame) -> DataFrame:
-    """`rows` with `hashes`: a 64-bit value for each run of SHINGLE words, in order, repeats included."""
+def worded(rows: DataFrame) -> DataFrame:
     lowered = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = F.filter(F.split(lowered, WORDS), lambda w: w != "")
-    return fixed(fixed(rows, "words", words), "hashes", F.expr(_HASHES)).drop("words")
+    return fixed(rows, "words", F.filter(F.split(lowered, WORDS), lambda w: w != ""))
+
+
+def shingled(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """`rows` (words) with `hashes`: a 64-bit value for each run of `width` words, in order, repeats included."""
+    parts = ", ".join(f"get(words, i + {j})" for j in range(width))
+    runs = f"CASE WHEN size(words) < {width} THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(words) - {width}), i -> xxhash64({parts})) END"
+    return fixed(rows, "hashes", F.expr(runs)).drop("words")
+
+
+def spots(h: Column) -> Column:
+    """The places (at, bit) of a hash in the sieve."""
+    part = lambda shift, mask: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask))
+    return F.array(*[F.struct(part(at, SIEVE_BYTES - 1).cast("int").alias("at"), F.pmod(part(bit, 63), F.lit(SIEVE_BITS)).cast("int").alias("bit")) for at, bit in SIEVE_PLACES])
+
+
+def sieve(index: DataFrame) -> bytes:
+    """A Bloom filter of the hashes `h`, of a fixed size, built from grouped bits; SIEVE_BITS bits a byte keep it ASCII."""
+    out = bytearray(SIEVE_BYTES)
+    for r in index.select(F.explode(spots(F.col("h"))).alias("s")).groupBy("s.at").agg(F.expr("bit_or(shiftleft(1, s.bit))").alias("bits")).toLocalIterator():
+        out[r["at"]] = r["bits"]
+    return bytes(out)
+
+
+def passes(bits: bytes, h: Column) -> Column:
+    """Does a hash pass the sieve? The sieve stands in the plan once."""
+    def told(s: Column) -> Column:
+        byte = F.ascii(F.substring(F.lit(bytearray(bits)), s["at"] + 1, F.lit(1)).cast("string"))
+        return F.call_function("shiftright", byte, s["bit"]).bitwiseAND(F.lit(1)) == 1
+
+    return F.forall(spots(h), told)
 
 
 def fixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -59,7 +86,7 @@ def block_values(fingerprint: str) -> list[tuple[int, str]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, most_listed: int = 50_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20) -> DataFrame:
     """Rows (doc_id, item_id, similarity, hamming, window_start, window_words): each item that a document repeats.
 
     A document's windows are as long as an item, in words, and hold as many shingles of items of that length as
@@ -69,24 +96,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     `radius`; then the multiset similarity of the shingles, at least `similarity`, decides. The best window of each
     item stays. (Copies of 0.8 differ in 10 of 64 bits on average; 20 is 3.5 standard deviations more.)
 
-    Documents are scanned once without a shuffle; only those that hold some shingle of an item go on. Up to
-    `most_listed` different shingles of the benchmark stand in the scan's filter as a list; with more it is a join.
+    Documents are scanned once for each shingle width (five words; fewer only for shorter items) without a shuffle; only
+    those go on that hold some shingle of an item by a sieve of fixed size, and a join with the items' shingles settles
+    that. The same plan at every size; a benchmark of very many items only lets more through the sieve.
 
-    Null or empty texts, and items of fewer than five words: no rows. Very long texts: all their windows. Repeated rows
-    count once, ids that stand for different texts keep their best window. Empty tables: empty. Other columns are left out.
+    Null or empty texts: no rows. An item of fewer than five words is one shingle as a whole. Very long texts: all their
+    windows. Repeated rows count once, ids that stand for different texts keep their best window. Empty tables: empty.
+    Other columns are left out, so none clashes.
     """
-    items = written(shingled(benchmark.select("item_id", "text").where("text is not null")).where("size(hashes) > 0").select("item_id", "hashes").distinct(), "items")
+    texts = worded(benchmark.select("item_id", "text").where("text is not null")).where("size(words) > 0")
+    texts = written(texts.select("item_id", "words").distinct(), "items")
+    widths = sorted(r["w"] for r in texts.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("w")).distinct().collect()) or [SHINGLE]
+    out = None
+    for width in widths:
+        of_width = texts.where(F.least(F.size("words"), F.lit(SHINGLE)) == width)
+        found = _leaks(docs, shingled(of_width, width), width, similarity, radius)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _leaks(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    items = written(items.select("item_id", "hashes").distinct(), "items")
     index = items.select(F.size("hashes").alias("n"), F.explode("hashes").alias("h")).distinct()
-    listed = index.select("h").distinct().limit(most_listed + 1).collect()
-    base = shingled(docs.select("doc_id", "text").where("text is not null")).select("doc_id", row_key("doc_id", "text").alias("key"), "hashes")
-    if len(listed) <= most_listed:
-        values = ", ".join(f"{r['h']}L" for r in listed).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)") or "NULL"
-        hits = F.expr(f"filter(transform(hashes, (h, i) -> named_struct('pos', i, 'h', h)), s -> s.h IN ({values}))")
-        held = written(fixed(base, "hits", hits).where("size(hits) > 0"), "held")
-        found = held.select("key", F.size("hashes").alias("size"), F.inline("hits"))
-    else:
-        held = written(base, "held")
-        found = held.select("key", F.size("hashes").alias("size"), F.posexplode("hashes").alias("pos", "h"))
+    bits = sieve(index.select("h").distinct())
+    base = shingled(worded(docs.select("doc_id", "text").where("text is not null")), width).select("doc_id", row_key("doc_id", "text").alias("key"), "hashes")
+    hits = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda s: passes(bits, s["h"]))
+    held = written(fixed(base, "hits", hits).where("size(hits) > 0"), "held")
+    found = held.select("key", F.size("hashes").alias("size"), F.inline("hits"))
     lined = found.join(index, "h").groupBy("key", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"), F.max("size").alias("size"))
     lined = fixed(lined, "need", least_shared(F.col("n"), F.col("size"), similarity)).where("size(p) >= need")
     starts = F.expr("transform(p, (x, i) -> IF(get(p, i - need + 1) > x - n, greatest(0, x - n + 1), NULL))")
@@ -112,6 +148,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     met = keyed.join(near, ["n", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
     pairs = fixed(met.dropDuplicates(["key", "n", "start", "item_id"]), "similarity", F.expr(_SIMILARITY))
     best = pairs.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("similarity", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("hamming"), F.col("start").alias("window_start"), (F.col("n") + SHINGLE - 1).alias("window_words")), F.struct("similarity", -F.col("start"))).alias("w")
+        F.max_by(F.struct("similarity", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("hamming"), F.col("start").alias("window_start"), (F.col("n") + width - 1).alias("window_words")), F.struct("similarity", -F.col("start"))).alias("w")
     )
     return best.select("doc_id", "item_id", "w.*")
