@@ -35,13 +35,13 @@ def odd(spark):
     return df.withColumn("key", F.lit("x")).cache()
 
 
-@pytest.mark.parametrize("most", [1, 4096])
+@pytest.mark.parametrize("most", [1, 3, 4096])
 def test_repeats(spark, data, most):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id < 150")
     more = spark.createDataFrame([(10**6, "ab" * 700), (10**6 + 1, "x" * 300 + "ab" * 250), (10**6 + 2, None), (10**6 + 3, "q" * 399), (10**6 + 4, "q" * 401)], "doc_id long, text string")
     docs = docs.unionByName(more)
     expected = repeats.brute_force({r.doc_id: (r.text or "").encode() for r in docs.collect()}, 400)
-    got = repeats.digest(repeats.remove_repeats(docs, most_in_bucket=most)).collect()
+    got = repeats.digest(repeats.remove_repeats(docs, most_in_group=most)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
 
 
@@ -52,6 +52,18 @@ def test_repeats_odd(odd):
     assert repeats.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_at_the_edges_of_a_common_passage(spark):
+    """More texts share a passage than a group may hold; some go on alike after it."""
+    rng = random.Random(16)
+    passage = text_of(rng, 30)
+    rows = [(i, f"{text_of(rng, 12)} {passage} {'same tail ' * (i % 3)}{text_of(rng, rng.randint(0, 12))}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = repeats.brute_force({i: t.encode() for i, t in rows}, 100)
+    for most in (40, 4096):
+        got = repeats.digest(repeats.remove_repeats(docs, length=100, most_in_group=most)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
+
+
 def brute_jaccard(rows, width, percent):
     sets = {}
     for i, t in rows:

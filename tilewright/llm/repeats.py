@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, row_key, slices, written
+from .common import discard, prepare, slices, written
 from .words import mix
 
 U = np.uint64
@@ -62,8 +62,10 @@ def repeated_columns(strings: list[bytes], centres: list[int], length: int) -> l
     put before its suffix: a stable sort by that symbol turns the order of the suffixes into that of the longer ones,
     and the least common prefix over the old ranks between two neighbours, plus one, is their new common prefix. The
     column's symbols in the order of their suffixes are its segment of the collection's transform. Only suffixes of one
-    column can share a window, so each column's segment stands for itself. Segments go to a scratch file one after
-    another, and the file is read once in that order: neighbours with a common prefix of `length` are repeats.
+    column can share a window, so each column's segment stands for itself.
+
+    Order and common prefixes live in two sequential files: a round reads one from its start to its end and writes the
+    other, and the files change places. What a round finds with a common prefix of `length` is a repeat.
     """
     m = len(strings)
     right = max(len(s) - c for s, c in zip(strings, centres, strict=True))
@@ -71,40 +73,33 @@ def repeated_columns(strings: list[bytes], centres: list[int], length: int) -> l
     cells = np.zeros((left + right, m), np.uint16)
     for i, (s, c) in enumerate(zip(strings, centres, strict=True)):
         cells[left - c : left - c + len(s), i] = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
-    order, common = np.arange(m), np.zeros(m, np.int32)
     found = np.zeros((left + right, m), bool)
-    columns = range(left + right - 1, -1, -1)
-    with tempfile.TemporaryFile() as spool:
-        for j in columns:
+    with tempfile.TemporaryFile() as now, tempfile.TemporaryFile() as then:
+        now.write(np.arange(m, dtype=np.int32).tobytes() + bytes(4 * m))
+        for j in range(left + right - 1, -1, -1):
+            now.seek(0)
+            order, common = (np.frombuffer(now.read(4 * m), np.int32) for _ in range(2))
             symbols = cells[j, order]
-            spool.write(symbols.tobytes())
             rank = np.argsort(symbols, kind="stable")
-            table = [common]
-            k = 1
-            while 2 * k <= m:
-                t = table[-1]
-                table.append(np.minimum(t[:-k], t[k:]))
-                k *= 2
+            symbols = symbols[rank]
             new = np.zeros(m, np.int32)
-            a, z = rank[:-1] + 1, rank[1:]
-            same = np.flatnonzero((symbols[rank[1:]] == symbols[rank[:-1]]) & (symbols[rank[1:]] > 0))
+            same = np.flatnonzero((symbols[1:] == symbols[:-1]) & (symbols[1:] > 0))
             if len(same):
-                a, z = a[same], z[same]
+                a, z = rank[same] + 1, rank[same + 1]
                 level = np.log2(z - a + 1).astype(np.int64)
-                low = np.empty(len(same), np.int32)
-                for v in np.unique(level):
+                low, table = np.empty(len(same), np.int32), common
+                for v in range(int(level.max()) + 1):
+                    if v:
+                        table = np.minimum(table[: -(1 << (v - 1))], table[1 << (v - 1) :])
                     at = level == v
-                    low[at] = np.minimum(table[v][a[at]], table[v][z[at] - (1 << v) + 1])
+                    low[at] = np.minimum(table[a[at]], table[z[at] - (1 << v) + 1])
                 new[same + 1] = np.minimum(low + 1, length)
-            order, common = order[rank], new
-            spool.write(order.astype(np.int32).tobytes())
-            spool.write(common.tobytes())
-        spool.seek(0)
-        for j in columns:
-            spool.read(2 * m)
-            ids = np.frombuffer(spool.read(4 * m), np.int32)
-            full = np.frombuffer(spool.read(4 * m), np.int32) >= length
-            found[j, ids[full | np.append(full[1:], False)]] = True
+            full = new >= length
+            found[j, order[rank[full | np.append(full[1:], False)]]] = True
+            then.seek(0)
+            then.write(order[rank].tobytes())
+            then.write(new.tobytes())
+            now, then = then, now
     return [found[left - c : left - c + len(s), i] for i, (s, c) in enumerate(zip(strings, centres, strict=True))]
 
 
@@ -114,94 +109,124 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """`wanted` with `context`: the bytes from its first window to the end of its last."""
-    start, size = F.col("s0") + 1, F.col("s1") - F.col("s0") + length
-    return wanted.join(docs, "key").withColumn("context", F.substring(F.col("text").cast("binary"), start, size)).drop("text")
+#: A group's strings: what they belong to (anchor and digest of the whole context), how often they stand in the texts,
+#: the anchor's place in the string, and the string's place in the context.
+_STRINGS = "ah bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, d1 bigint, d2 bigint, c bigint, centre int, off int, context binary"
+_GROUP, _STRING = ["g1", "g2"], ["g1", "g2", "d1", "d2"]
+
+
+def _keys() -> list:
+    """A row's content in 128 bits: repeated rows share it, different texts under one id don't."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2")]
+
 
+def _narrowed(rows: DataFrame, length: int, step: int) -> DataFrame:
+    """Strings cut into those of `step` neighbouring window starts, in groups that share what all these windows hold."""
 
-def repeated_windows(docs: DataFrame, length: int = 400, most_in_bucket: int = 4096) -> DataFrame:
-    """Rows (key, lo, hi): starts lo to hi of windows of `length` bytes that also start elsewhere; key is of (doc_id, text).
+    def cut(batches):
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for part in slices(batch, "context"):
+                out: list[list] = [[] for _ in range(8)]
+                for i, (ah, centre, off, text) in enumerate(zip(*(part.column(k).to_pylist() for k in ("ah", "centre", "off", "context")), strict=True)):
+                    last = len(text) - length
+                    for chunk in range((centre - last) // step, centre // step + 1):
+                        high, low = centre - chunk * step, centre - chunk * step - step + 1
+                        a, z = max(0, low), min(last, high)
+                        whole = text[a : z + length]
+                        g = np.frombuffer(digest(ah.to_bytes(8, "little", signed=True) + chunk.to_bytes(8, "little", signed=True) + text[high : low + length]), np.int64)
+                        d = np.frombuffer(digest(whole), np.int64)
+                        for column, x in zip(out, (i, int(g[0]), int(g[1]), int(d[0]), int(d[1]), centre - a, off + a, whole), strict=True):
+                            column.append(x)
+                of = pa.array(out[0], pa.int64())
+                kept = [part.column(k).take(of) for k in ("ah", "f1", "f2")]
+                yield pa.record_batch([*kept, *[pa.array(x, pa.int64()) for x in out[1:5]], part.column("c").take(of), *[pa.array(x, pa.int32()) for x in out[5:7]], pa.array(out[7], pa.binary())], names=[n.split()[0] for n in _STRINGS.split(", ")])
+
+    return rows.mapInArrow(cut, _STRINGS)
+
+
+def _settled(kinds: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Rows (g1, g2, d1, d2, lo, hi): the windows of each string that its group's strings repeat, by `repeated_columns`."""
+
+    def columns(group: pa.Table) -> pa.Table:
+        strings, centres, c = (group.column(k).to_pylist() for k in ("context", "centre", "c"))
+        twins = [i for i, n in enumerate(c) if n > 1]  # a string that stands more than once meets itself
+        flags = repeated_columns(strings + [strings[i] for i in twins], centres + [centres[i] for i in twins], length)
+        found = [runs(flags[i]) for i in range(len(strings))]
+        of = pa.array(np.repeat(np.arange(len(strings)), [len(lo) for lo, _ in found]))
+        spans = [np.concatenate([np.zeros(0, np.int32), *[f[k].astype(np.int32) for f in found]]) for k in (0, 1)]
+        return pa.table([*[group.column(k).take(of) for k in _STRING], *map(pa.array, spans)], names=[*_STRING, "lo", "hi"])
+
+    dealt = kinds.withColumn("bucket", F.pmod(F.xxhash64(*_GROUP), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(columns, "g1 bigint, g2 bigint, d1 bigint, d2 bigint, lo int, hi int")
+
+
+def repeated_windows(docs: DataFrame, length: int = 400, most_in_group: int = 4096) -> DataFrame:
+    """Rows (k1, k2, lo, hi): starts lo to hi of windows of `length` bytes that also start elsewhere; the key is of (doc_id, text).
 
     1. Each text's windows are dealt to anchors (`anchors`); a row holds the anchor's hash and a 128-bit digest of the
        whole context, from its first window to the end of its last.
-    2. Anchors whose hash stands alone have no repeat. Contexts with the same digest as another are repeats as a whole.
-    3. Where contexts of one anchor differ, one of each digest goes to a bucket, whole anchors together, and
-       `repeated_columns` finds the windows that they share.
-    4. An anchor with more than `most_in_bucket` different contexts, such as the edge of a passage that very many
-       texts share, isn't gathered: its windows are counted by their digests, with partial sums.
+    2. Anchors whose hash stands alone have no repeat. If an anchor's contexts are all equal, all of them are repeats.
+    3. Else one context of each digest goes to the anchor's group, with a twin if it stands more than once, and
+       `repeated_columns` finds the windows that the group repeats.
+    4. Groups of more than `most_in_group` strings are narrowed first: an eighth of the windows at a time, then a 64th,
+       then each by itself, and only strings that agree on all that these windows share stay together. So no task
+       gathers an unbounded group, whatever texts share, and the same transform settles each.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(row_key("doc_id", "text").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(*_keys(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
-                keys = np.array(part.column(0).to_pylist(), np.int64)
-                raw = [t.encode("utf-8") for t in part.column(1).to_pylist()]
+                keys = [np.array(part.column(k).to_pylist(), np.int64) for k in (0, 1)]
+                raw = [t.encode("utf-8") for t in part.column(2).to_pylist()]
                 of, hashes, at, s0, s1 = anchors(raw, length)
                 digest = xxhash.xxh3_128_digest
                 whole = b"".join([digest(raw[i][a : z + length]) for i, a, z in zip(of.tolist(), s0.tolist(), s1.tolist(), strict=True)])
                 f = np.frombuffer(whole, np.int64).reshape(-1, 2)
                 yield pa.record_batch(
-                    [pa.array(x) for x in (hashes.view(np.int64), f[:, 0].copy(), f[:, 1].copy(), keys[of], at.astype(np.int32), s0.astype(np.int32), s1.astype(np.int32))],
-                    names=["ah", "f1", "f2", "key", "at", "s0", "s1"],
+                    [pa.array(x) for x in (hashes.view(np.int64), f[:, 0].copy(), f[:, 1].copy(), keys[0][of], keys[1][of], at.astype(np.int32), s0.astype(np.int32), s1.astype(np.int32))],
+                    names=["ah", "f1", "f2", "k1", "k2", "at", "s0", "s1"],
                 )
 
-    rows = written(docs.mapInArrow(scan, "ah bigint, f1 bigint, f2 bigint, key bigint, at int, s0 int, s1 int"), "anchors")
+    rows = written(docs.mapInArrow(scan, "ah bigint, f1 bigint, f2 bigint, k1 bigint, k2 bigint, at int, s0 int, s1 int"), "anchors")
     shared = rows.groupBy("ah").agg(F.count("*").alias("c"), F.min("f1").alias("f_low"), F.max("f1").alias("f_high")).where("c > 1")
     shared = written(shared.select("ah", (F.col("f_low") == F.col("f_high")).alias("alike")), "anchors")  # so that the join below is a plain one, whose hot keys can be split
     met = written(rows.join(shared, "ah"), "shared")
-    alike = met.where("alike").select("key", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
+    discard(rows, shared)
+    alike = met.where("alike").select("k1", "k2", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
 
-    mixed = met.where("not alike").drop("alike")
-    kinds = written(mixed.groupBy("ah", "f1", "f2").agg(F.count("*").alias("c"), F.min(F.struct("key", "at", "s0", "s1")).alias("one")).select("ah", "f1", "f2", "c", "one.*"), "kinds")
-    many = mixed.join(kinds.where("c > 1").select("ah", "f1", "f2"), ["ah", "f1", "f2"]).select("key", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
-
-    sizes = kinds.groupBy("ah").agg(F.count("*").alias("kinds"))
-    total = kinds.count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1000 + 1)
-    asked = kinds.join(sizes, "ah").select("ah", "c", "key", "at", "s0", "s1", "kinds")
-    held = _contexts(docs, asked, length).dropDuplicates(["ah", "key", "s0"])
-    held = written(held, "contexts")
+    mixed = met.where("not alike")
+    kinds = written(mixed.groupBy("ah", "f1", "f2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "s0", "s1")).alias("one")).select("ah", "f1", "f2", "c", "one.*"), "kinds")
+    start, size = F.col("s0") + 1, F.col("s1") - F.col("s0") + length
+    context = F.substring(F.col("text").cast("binary"), start, size).alias("context")
+    held = kinds.join(docs, ["k1", "k2"]).select("ah", "f1", "f2", F.col("ah").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("f1").alias("d1"), F.col("f2").alias("d2"), "c", (F.col("at") - F.col("s0")).alias("centre"), F.lit(0).alias("off"), context)
+    now = written(held.dropDuplicates(["ah", "f1", "f2"]), "contexts")  # a repeated row brings its contexts twice
+    discard(kinds)
 
-    def columns(group: pa.Table) -> pa.Table:
-        group = group.sort_by("ah")
-        s0, at = group.column("s0").to_numpy(), group.column("at").to_numpy()
-        strings = group.column("context").to_pylist()
-        keys, c = group.column("key").to_numpy(), group.column("c").to_numpy()
-        out = [[], [], []]
-        for i, flags in enumerate(repeated_columns(strings, (at - s0).tolist(), length)):
-            if c[i] == 1:
-                lo, hi = runs(flags)
-                out[0] += [int(keys[i])] * len(lo)
-                out[1] += (lo + s0[i]).tolist()
-                out[2] += (hi + s0[i]).tolist()
-        return pa.table({"key": pa.array(out[0], pa.int64()), "lo": pa.array(out[1], pa.int32()), "hi": pa.array(out[2], pa.int32())})
-
-    few = held.where(F.col("kinds") <= most_in_bucket).withColumn("bucket", F.pmod(F.xxhash64("ah"), F.lit(buckets))).drop("kinds")
-    by_columns = few.groupBy("bucket").applyInArrow(columns, "key bigint, lo int, hi int")
-
-    def single(batches):
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            keys, s0, c = (batch.column(k).to_pylist() for k in ("key", "s0", "c"))
-            out = [[], [], [], []]
-            for key, a, n, text in zip(keys, s0, c, batch.column("context").to_pylist(), strict=True):
-                count = len(text) - length + 1
-                out[0] += [digest(text[i : i + length]) for i in range(count)]
-                out[1] += [key] * count
-                out[2] += range(a, a + count)
-                out[3] += [n] * count
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["w", "key", "lo", "c"])
-
-    spots = held.where(F.col("kinds") > most_in_bucket).select("key", "s0", "c", "context").mapInArrow(single, "w binary, key bigint, lo int, c bigint")
-    spots = written(spots, "windows")
-    often = spots.groupBy("w").agg(F.sum("c").alias("all")).where("all > 1").select("w")
-    by_counts = spots.where("c = 1").join(often, "w").select("key", "lo", F.col("lo").alias("hi"))
-    return alike.unionByName(many).unionByName(by_columns).unionByName(by_counts)
+    found = []
+    width = length - GRAM + 1
+    for step in dict.fromkeys((0, -(-width // 8), -(-width // 64), 1)):
+        strings = now
+        if step:
+            now = written(_narrowed(now, length, step), "strings")
+            strings = now.groupBy(*_STRING).agg(F.sum("c").alias("c"), F.min(F.struct("centre", "context")).alias("one")).select(*_STRING, "c", "one.*")
+        sizes = strings.groupBy(*_GROUP).agg(F.count("*").alias("n"))
+        large = written(sizes.where(F.col("n") > most_in_group).select(*_GROUP), "large")
+        rest = strings.join(large, _GROUP, "left_anti")
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), now.count() // 1000 + 1)
+        told = written(_settled(rest, length, buckets), "settled")
+        found.append(told.join(now.select(*_STRING, "ah", "f1", "f2", "off"), _STRING).select("ah", "f1", "f2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi")))
+        if large.isEmpty():
+            break
+        now = written(now.join(large, _GROUP, "left_semi"), "contexts")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    spread = mixed.select("ah", "f1", "f2", "k1", "k2", "s0").join(every, ["ah", "f1", "f2"]).select("k1", "k2", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi"))
+    return alike.unionByName(spread)
 
 
 def covered(size: int, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,8 +247,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, **options) -> DataFrame:
     Null or empty text: nothing removed, kept empty. Very long texts: whole. Repeated rows are repeats of each other.
     Null doc_id: as any id. Empty table: empty. Other columns are left out.
     """
-    found = repeated_windows(docs, length, **options).groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("key"))
+    found = repeated_windows(docs, length, **options).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), *_keys())
 
     def cut(batches):
         for batch in batches:
@@ -244,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, **options) -> DataFrame:
                     names=["doc_id", "text", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept"],
                 )
 
-    joined = keyed.join(found, "key", "left").select("doc_id", "text", "lo", "hi")
+    joined = keyed.join(found, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {id_type}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, starts array<bigint>, ends array<bigint>, kept binary")
 
