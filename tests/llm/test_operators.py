@@ -195,6 +195,43 @@ def test_quality(spark, data):
     assert r[0] > 0.95
 
 
+def test_quality_posteriors(spark):
+    """Site and path posteriors and the final score, recomputed from the documents' own scores."""
+    rng = random.Random(19)
+    rows = [(i, text_of(rng, rng.randint(1, 40)) + rng.choice(["", " $$$ ### %%%" * 9]), f"l{rng.randint(0, 3)}", rng.choice(["s0", "s0", f"s{rng.randint(1, 9)}", None]), 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, int("$" not in t)) for i, t, *_ in rows[:200]], "doc_id long, quality int")
+    got = quality.score_quality(docs, labels).collect()
+    by_site, by_path = {}, {}
+    for r in got:
+        by_site.setdefault(r.source, []).append(r.doc_score)
+        by_path.setdefault((r.source, r.lang), []).append(r.doc_score)
+    mean = np.mean([r.doc_score for r in got])
+
+    def strength(groups, around, parents):
+        far = sum((np.mean(v) - around(k)) ** 2 for k, v in groups.items()) / (len(groups) - parents)
+        noise = np.mean([around(k) * (1 - around(k)) / len(v) for k, v in groups.items()])
+        return np.clip(mean * (1 - mean) / max(far - noise, 1e-4) - 1, 1.0, 1e4)
+
+    middle = np.mean([np.mean(v) for v in by_site.values()])
+    a, b = strength(by_site, lambda k: middle, 1), strength(by_path, lambda k: np.mean(by_site[k[0]]), len(by_site))
+    logit = lambda p: math.log(p / (1 - p))
+    for r in got:
+        site = (sum(by_site[r.source]) + a * mean) / (len(by_site[r.source]) + a)
+        path = by_path[(r.source, r.lang)]
+        path = (sum(path) + b * site) / (len(path) + b)
+        clipped = min(max(r.doc_score, quality.LEAST), 1 - quality.LEAST)
+        score = 1 / (1 + math.exp(-(logit(clipped) + 0.5 * (logit(path) - logit(mean)))))
+        assert (r.site_score, r.path_score, r.quality_score) == (pytest.approx(site), pytest.approx(path), pytest.approx(score))
+
+
+def test_quality_held_out(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    r = quality.score_quality(docs, labels.where(~held)).join(labels.where(held), "doc_id").select(F.avg((F.col("keep").cast("int") == F.col("quality")).cast("int")), F.count("*")).first()
+    assert r[0] > 0.9 and r[1] > 10
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(4, 1), (7, 0), (7, 1), (None, 1), (8, None)], "doc_id long, quality int")
     got = quality.score_quality(odd, labels)
@@ -208,6 +245,50 @@ def test_language(spark, data):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
 
 
+def test_language_kernel_and_regression():
+    """The scores are those of the kernel written out pair by pair and of ridge regression over the landmarks' features."""
+    rng = random.Random(17)
+    texts = [text_of(rng, rng.randint(3, 30)) for _ in range(40)] + ["", "a", "Ab ab"]
+    names = ["xyz"[i % 3] for i in range(len(texts))]
+
+    def grams(t, n, size):
+        b = [int(language.FOLD[c]) for c in t.lower().encode()]
+        out = set()
+        for i in range(len(b) - n + 1):
+            code = b[i]
+            for k in range(1, n):
+                code = (code * 0x01000193 + b[i + k]) % 2**32
+            out.add(code if n == 1 else (code * 0x9E3779B1 % 2**32) >> (32 - size.bit_length() + 1))
+        return out
+
+    def kernel(x, y):
+        total = 0.0
+        for n, size in language.SIZES.items():
+            a, b = grams(x, n, size), grams(y, n, size)
+            total += len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1)) / len(language.SIZES)
+        return total
+
+    flags = language.presence(texts)
+    x = language.spectrum(flags)
+    direct = np.array([[kernel(a, b) for b in texts] for a in texts])
+    assert np.allclose(x @ x.T, direct, atol=1e-5)
+    model = language.fit(flags, names, landmarks=len(texts))
+    y = np.array([[1.0 if n == k else -1.0 for k in "xyz"] for n in names])
+    told = direct @ np.linalg.solve(direct + 1e-3 * len(texts) * np.eye(len(texts)), y)  # all texts are landmarks: plain kernel ridge regression
+    assert np.allclose((x @ model.landmarks.T) @ model.weights, told, atol=5e-3)
+
+
+def test_language_learns_every_language(spark):
+    rng = random.Random(18)
+    rows = []
+    for k in range(260):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(30)]
+        rows += [(None if j == 0 else 10 * k + j, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(20)), f"l{k}") for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(df, df, landmarks=780)
+    assert got.select("lang_pred").distinct().count() > 250 and got.where("lang = lang_pred").count() > 0.95 * len(rows)
+
+
 def test_language_odd(odd):
     got = {(r.doc_id, r.text): r for r in language.identify(odd, odd).collect()}
     assert got[(0, None)].lang_pred == got[(1, "")].lang_pred == "und" and got[(0, None)].score == 0
@@ -271,6 +352,15 @@ def test_html_held_out_and_odd(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_deep_pages_take_time_in_proportion():
+    import time
+
+    for unit in ("<div>x", "<b><p>x</i>", "<div class='a b'><a>y</span>"):
+        began = time.process_time()
+        blocks = html_text.leaf_blocks(unit * 60_000)
+        assert time.process_time() - began < 20 and blocks  # a walk of the stack for each piece would take many minutes
+
+
 def test_html_keeps_every_class_word():
     many = " ".join(f"is-{w}" for w in WORDS[:10])
     told = f"<p>{'Told at length. ' * 9}</p>"
@@ -355,6 +445,34 @@ def test_urls(spark, data):
     assert urls.filter_urls(odd.limit(0)).count() == 0
 
 
+def test_url_trees_and_suffixes(spark):
+    """The native score is that of the trees by NumPy; every labelled suffix has its rate, however many there are."""
+    rng = random.Random(20)
+    rows = [(i, f"http://h{rng.randint(0, 9)}.s{i % 400}/" + "/".join(str(rng.randint(0, 10 ** rng.randint(1, 8))) for _ in range(rng.randint(0, 4)))) for i in range(2000)]
+    rows += [(2000, rows[0][1]), (2000, rows[0][1]), (None, rows[1][1]), (2001, "http://x.unseen/"), (2002, "http://" + "y" * 20_000)]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in rows], "page_id long, url string, verdict string")
+    labelled = pages.where("page_id < 2000").select("url", F.col("url").rlike(r"\.s\d*[02468]/").cast("int").alias("blocked"))
+    got = urls.filter_urls(pages, labelled, rules=())
+    assert got.columns.count("verdict") == 1
+    judged = {r.url: r for r in got.collect()}
+    assert got.count() == len(rows) and judged["http://x.unseen/"].block_score < 1
+    right = sum((judged[u].verdict == "block") == (int(re.search(r"\.s(\d+)/", u)[1]) % 2 == 0) for _, u in rows[:2000])
+    assert right > 1900
+    rng = np.random.default_rng(6)
+    x = rng.random((300, 3))
+    y = (x[:, 0] + 0.3 * x[:, 1] > 0.6).astype(float)
+    model = urls.BoostedTrees(rounds=12).fit(["a", "b", "c"], x, y)
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double")
+    native = {r.i: r.p for r in frame.select("i", model.column({k: F.col(k) for k in "abc"}).alias("p")).collect()}
+    for i, row in enumerate(x):
+        score = model.base
+        for tree in model.trees:
+            while isinstance(tree, tuple):
+                tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+            score += tree
+        assert native[i] == pytest.approx(1 / (1 + math.exp(-score)))
+
+
 def check_pieces(rows, texts, window):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -384,13 +502,24 @@ def test_packing(spark, data):
     assert packing.pack(docs.limit(0), queries.TOKENIZER).count() == 0
 
 
+def test_packing_odd(odd):
+    rows = packing.pack(odd.withColumns({"start": F.lit(1), "length": F.lit("x")}).unionByName(odd.limit(1).withColumns({"start": F.lit(1), "length": F.lit("x"), "doc_id": F.lit(None).cast("long")})), queries.TOKENIZER)
+    assert rows.columns == packing.NAMES
+    got = rows.collect()
+    assert sum(r.doc_id is None for r in got) == 1 and sum(r.start == 0 for r in got) == 16
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 1024 and sum(used.values()) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
 def test_packing_cuts_are_optimal():
     rng = random.Random(6)
     for _ in range(50):
         window = 16
         ends = np.cumsum([rng.randint(1, 6) for _ in range(rng.randint(1, 12))])
         costs = np.array([rng.choice([0.0, 2.0, 5.0]) for _ in ends])
-        free = {k for k in (2, 4, 8)}
+        free = {1, 2, 4, 8}
 
         def price(path):
             return sum(costs[ends.tolist().index(b)] + (0 if b - a in free else window - (b - a)) for a, b in zip([0, *path[:-1]], path, strict=True))
@@ -401,6 +530,16 @@ def test_packing_cuts_are_optimal():
         assert math.isclose(price(packing.best_cuts(ends, costs, window)), best[int(ends[-1])][0])
 
 
+def groups_of(x, ids, cosine=0.95):
+    """The smallest id reachable by links, by brute force."""
+    near, label = x @ x.T >= cosine, np.array(ids)
+    while True:
+        lower = np.where(near, label[None, :], label.max()).min(1)
+        if (lower == label).all():
+            return dict(zip(ids, label.tolist(), strict=True))
+        label = lower
+
+
 def test_embeddings(spark, data):
     vectors = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]
@@ -412,6 +551,10 @@ def test_embeddings(spark, data):
     truth = (x @ x.T >= 0.95).sum(1) - 1
     found = np.array([got[i].n_links for i, _ in rows])
     assert (found <= truth).all() and found.sum() >= 0.9 * truth.sum()
+    whole = groups_of(x, [i for i, _ in rows])
+    assert np.mean([got[i].component_id == whole[i] for i, _ in rows]) >= 0.99
+    again = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 1, True) for i, v in [*rows[:50], rows[0], rows[0]]], "vec_id long, embedding array<double>, n_links int, kept boolean"))
+    assert again.columns == ["vec_id", "n_links", "component_id", "kept"] and [r.n_links for r in again.where(F.col("vec_id") == rows[0][0]).collect()] == [2, 2, 2]
     for i, _ in odd:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
@@ -447,5 +590,27 @@ def test_pipeline(spark, data):
     before, after = step["near_duplicates"]
     groups = brute_jaccard([(r.doc_id, r.text) for r in before.collect()], 5, 80)
     assert {r.doc_id for r in after.collect()} == {c for _, c in groups.values()}
+    leaks = {r.doc_id for r in decontaminate.find_leaks(after, spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
+    assert {r.doc_id for r in step["decontamination"][1].collect()} == {r.doc_id for r in after.collect()} - leaks
+    assert {r.doc_id for r in step["personal_data"][1].collect()} == {r.doc_id for r in step["decontamination"][1].collect()}
     pieces = step["packing"][1].collect()
     assert check_pieces(pieces, {r.doc_id: r.text for r in step["packing"][0].collect()}, 1024) < 0.05
+
+
+def test_pipeline_odd(spark, odd, data):
+    """Every stage takes null ids and texts, ties, repeats, very long texts, clashing columns and an empty table."""
+    docs = odd.drop("key").unionByName(odd.drop("key").limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    clash = docs.withColumns({c: F.lit("mine") for c in ("key", "n", "hashes", "rep", "component_id", "site_score", "spans", "words", "a", "b", "k1")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, data)
+        assert stage(spark, docs.limit(0), data).count() == 0
+        if name == "packing":
+            assert out.where("start = 0").count() == docs.count()
+            continue
+        assert out.columns == clash.columns
+        rows = out.collect()
+        assert all(r.key == r.n == r.site_score == r.spans == "mine" for r in rows)
+        if name == "near_duplicates":  # one row of each id and group; null ids stay
+            assert sum(r.doc_id is None for r in rows) == 3 and Counter(r.doc_id for r in rows)[4] == 1 and all(r.doc_id != 5 for r in rows)
+        else:
+            assert len(rows) == (docs.count() if name != "quality_classifier" else len(rows)) and len(rows) > 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -30,12 +31,18 @@ _PARTS = re.compile(r"[a-z]+")
 
 
 def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """Blocks of a page in order: (text, ancestors with their class words, share of the text inside links)."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[str, tuple[str, ...], float]] = []
+    """Blocks of a page in order: (text, what its ancestors' tags and class words say, share of the text inside links).
+
+    An open element holds what it and all around it say, of the names in GROUPS; open elements are counted by name. So a
+    page takes time in proportion to its length, however deep it is.
+    """
+    stack: list[tuple[str, frozenset[str]]] = []
+    opened: Counter[str] = Counter()
+    out: list[tuple[str, frozenset[str], float]] = []
     held: list[str] = []
     linked = 0
-    path: tuple[str, ...] = ()
+    none: frozenset[str] = frozenset()
+    path = none
 
     def flush():
         nonlocal linked
@@ -55,19 +62,20 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 if not held:
-                    path = tuple(x for _, names in stack for x in names)
+                    path = stack[-1][1] if stack else none
                 text = html.unescape(piece) if "&" in piece else piece
                 held.append(text)
-                if any(n == "a" for n, _ in stack):
+                if opened["a"]:
                     linked += len(text.strip())
             continue
         name = name.lower()
         if m[1]:
             if name not in INLINE:
                 flush()
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                while (last := stack.pop()[0]) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at)
@@ -78,15 +86,21 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
         if name not in INLINE:
             flush()
         for shut in CLOSES.get(name, ()):
+            if not opened[shut]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == shut:
+                    opened.subtract(n for n, _ in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in SCOPES:
                     break
         if name not in VOID and not m[3].endswith("/"):
             words = [w for a, b, c in _NAMES.findall(m[3]) for w in _PARTS.findall((a or b or c).lower())] if "=" in m[3] else []
-            stack.append((name, (f"<{name}>", *(f".{w}" for w in words))))
+            told = {x for x in (f"<{name}>", *(f".{w}" for w in words)) if x in _GROUP_OF}
+            around = stack[-1][1] if stack else none
+            stack.append((name, around if told <= around else around | told))
+            opened[name] += 1
     flush()
     return out
 
@@ -113,7 +127,7 @@ TEXT = ("short", "middling", "long", "links", "stop", "rights", "first", "last",
 WIDTH = len(GROUPS) + len(TEXT)
 
 
-def describe(blocks: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+def describe(blocks: list[tuple[str, frozenset[str], float]]) -> np.ndarray:
     """Features of a page's blocks, a row of WIDTH for each."""
     x = np.zeros((len(blocks), WIDTH))
     base = len(GROUPS)
@@ -266,7 +280,8 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     fitted on the driver to a few hundred invented labelled pages, or given as `chain`. Every page is read whole.
 
     Null or empty html, or no main block: text empty, n_chars 0. Broken markup: elements end where HTML would end them.
-    Very long pages: one pass. Repeated rows: each for itself. Empty tables: empty. Other columns are left out.
+    Very long or deep pages: one pass, in proportion
+    to their length. Repeated rows: each for itself. Empty tables: empty. Other columns are left out.
     """
     prepare(pages.sparkSession)
     chain = chain or trained()

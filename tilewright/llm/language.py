@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, quoted, slices
@@ -73,23 +73,24 @@ def fit(flags: np.ndarray, names: list[str], landmarks: int = 128, ridge: float
     return Model(known, z, (root @ weights).astype(np.float32))
 
 
-def identify(docs: DataFrame, learn: DataFrame, per_language: int = 500, most_languages: int = 200, landmarks: int = 128) -> DataFrame:
+def identify(docs: DataFrame, learn: DataFrame, per_language: int = 500, landmarks: int = 128) -> DataFrame:
     """`docs` (doc_id, text, more) with lang_pred and score (0 to 1); learnt from `learn` (text, lang).
 
-    The fit reads about `per_language` texts of each of the `most_languages` commonest languages, the first by a hash
-    of the text; what reaches the driver is their n-gram bits. Every text is judged whole, in batched matrix products.
+    The fit reads `per_language` different texts of each language at most, the first by a hash of the text; what
+    reaches the driver is their n-gram bits. Every language of `learn` is learnt. Every text is judged whole, in batched
+    matrix products.
 
     Null text, or one without a letter: `und`, score 0. Nothing to learn from: `und` for all. Null lang is not learnt.
-    Very long texts: a slice of their own. Repeated rows: each for itself. Empty tables: empty. Columns named like the
-    added ones are replaced.
+    Null ids stay. Very long texts: a slice of their own. Repeated rows: each for itself, and learnt from once. Ties go
+    to the first language by name. Empty tables: empty. Columns named like the added ones are replaced.
     """
     prepare(docs.sparkSession)
     known = learn.where("text is not null and lang is not null").select(F.col("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    # Four times as many by the hash as are wanted; then the first of each language, ordered, from what little is left.
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * per_language / F.count("*")).alias("__share"))
+    near = known.withColumn("__place", F.xxhash64("text")).join(share, "lang").where(F.pmod("__place", F.lit(1_000_000)) < F.col("__share") * 1_000_000)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("__place", "text"))
+    chosen = near.select("text", "lang", "__place").distinct().withColumn("__first", first).where(F.col("__first") <= per_language).select("text", "lang")
 
     def bits(batches):
         for batch in batches:
@@ -97,7 +98,7 @@ def identify(docs: DataFrame, learn: DataFrame, per_language: int = 500, most_la
                 packed = np.packbits(presence(part.column(0).to_pylist()), axis=1)
                 yield pa.record_batch([pa.array([p.tobytes() for p in packed], pa.binary()), part.column(1).cast(pa.string())], names=["bits", "lang"])
 
-    got = sorted((r["lang"], bytes(r["bits"])) for r in chosen.mapInArrow(bits, "bits binary, lang string").limit(4 * per_language * max(1, len(sizes))).collect())
+    got = sorted((r["lang"], bytes(r["bits"])) for r in chosen.mapInArrow(bits, "bits binary, lang string").collect())
     got.sort(key=lambda r: hash_order(r[1]))
     if not got:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})

@@ -87,14 +87,14 @@ def best_cuts(ends: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
 
     Each cut costs `costs`, each sequence its padding: window - length, none at a power of two. Consecutive ends are at
     most `window` apart. best(j) = cost(j) + window - j + min(best(i) + i) over the window is kept by a monotone queue;
-    the larger power-of-two lengths are a few further transitions.
+    the power-of-two lengths are a few further transitions.
     """
     at = [0, *ends.tolist()]
     cost = [0.0, *costs.tolist()]
     n = len(at)
     best, back = [0.0] * n, [0] * n
     place = {p: i for i, p in enumerate(at)}
-    free = [1 << k for k in range(window.bit_length()) if window // 8 <= 1 << k < window]
+    free = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     queue: deque[int] = deque([0])
     keys = [0.0] * n
     for j in range(1, n):

@@ -116,7 +116,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
     Spans that overlap one before them are covered by it. Null text stays null.
     """
-    marked = find_pii(docs)
+    marked = find_pii(docs.withColumnRenamed("spans", "__own_spans"))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
     def step(state: Column, s: Column) -> Column:
@@ -132,7 +132,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     masked = marked.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return masked.select(*[F.col("__own_spans").alias(c) if c == "spans" else F.col(c) for c in docs.columns])
 
 
 BASE_KINDS = ("email", "ip", "card", "phone")

@@ -12,6 +12,8 @@ from .urls import BoostedTrees
 from .words import count_distinct, split_words
 
 LEAST = 1e-3
+#: Columns that `score_quality` adds.
+ADDED = ("doc_score", "site_score", "path_score", "quality_score", "keep")
 
 
 STYLE = ("log_length", "upper", "symbols", "digits", "word_length", "variety", "lines")
@@ -71,10 +73,12 @@ def fit_style(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -
     return BoostedTrees(rounds=40).fit(list(STYLE), x, np.array([r["y"] for r in rows], float))
 
 
-def concentration(groups: DataFrame, mean: float) -> float:
-    """Prior strength by the moments of group means: large if groups differ no more than chance would have them."""
-    r = groups.agg(F.var_samp(F.col("s") / F.col("n")).alias("between"), F.avg(mean * (1 - mean) / F.col("n")).alias("noise")).first()
-    spread = max((r["between"] or 0.0) - (r["noise"] or 0.0), 1e-4)
+def concentration(groups: DataFrame, mean: float, parents: int = 1) -> float:
+    """Prior strength by the moments of group means around those of their `parents` (column m): large if groups differ no more than chance would have them."""
+    far = F.col("s") / F.col("n") - F.col("m")
+    r = groups.agg(F.sum(far * far).alias("between"), F.avg(F.col("m") * (1 - F.col("m")) / F.col("n")).alias("noise"), F.count("*").alias("k")).first()
+    free = r["k"] - parents
+    spread = max((r["between"] or 0.0) / free - (r["noise"] or 0.0) if free > 0 else 0.0, 1e-4)
     return float(np.clip(mean * (1 - mean) / spread - 1, 1.0, 1e4))
 
 
@@ -83,7 +87,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: str = "source", path
 
     doc_score is the classifier's probability of good quality. Sites (`site`) and their paths (`site`, `path`) get
     posteriors from sums over all documents: a path's mean shrinks toward its site's, the site's toward the global
-    mean; the strengths come from the spread between groups. quality_score adds the path's log odds against the global
+    mean; the strengths come from the spread of sites and, within sites, of paths. quality_score adds the path's log odds against the global
     ones, times `weight`, to the document's; keep means `threshold` or more.
 
     Null text: as empty. Null site or path: a group of its own. Without labels every doc_score is 0.5. Repeated rows
@@ -101,7 +105,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: str = "source", path
     sites = paths.groupBy("__site").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     whole = sites.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = whole["s"] / whole["n"] if whole["n"] else 0.5
-    for_sites, for_paths = concentration(sites, mean), concentration(paths, mean)
+    n_sites = sites.count()
+    middle = sites.agg(F.avg(F.col("s") / F.col("n"))).first()[0] or mean
+    around = paths.join(sites.select("__site", (F.col("s") / F.col("n")).alias("m")), "__site")  # a site's paths differ around its own mean
+    for_sites, for_paths = concentration(sites.withColumn("m", F.lit(float(middle))), mean), concentration(around, mean, n_sites)
     sites = sites.select("__site", ((F.col("s") + for_sites * mean) / (F.col("n") + for_sites)).alias("site_score"))
     posteriors = paths.join(sites, "__site").select("__site", "__path", "site_score", ((F.col("s") + for_paths * F.col("site_score")) / (F.col("n") + for_paths)).alias("path_score"))
     joined = scored.drop("site_score", "path_score", "quality_score", "keep").join(posteriors, ["__site", "__path"], "left")

@@ -166,9 +166,9 @@ def repeated_windows(docs: DataFrame, length: int = 400, most_in_group: int = 40
 
     1. Each text's windows are dealt to anchors (`anchors`); a row holds the anchor's hash and a 128-bit digest of the
        whole context, from its first window to the end of its last.
-    2. Anchors whose hash stands alone have no repeat. If an anchor's contexts are all equal, all of them are repeats.
-    3. Else one context of each digest goes to the anchor's group, with a twin if it stands more than once, and
-       `repeated_columns` finds the windows that the group repeats.
+    2. Anchors whose hash stands alone have no repeat. Of any other, one context of each digest goes to the anchor's
+       group, with a twin if it stands more than once.
+    3. `repeated_columns` finds the windows that the group repeats; they hold for all contexts of the digest.
     4. Groups of more than `most_in_group` strings are narrowed first: an eighth of the windows at a time, then a 64th,
        then each by itself, and only strings that agree on all that these windows share stay together. So no task
        gathers an unbounded group, whatever texts share, and the same transform settles each.
@@ -192,14 +192,10 @@ def repeated_windows(docs: DataFrame, length: int = 400, most_in_group: int = 40
                 )
 
     rows = written(docs.mapInArrow(scan, "ah bigint, f1 bigint, f2 bigint, k1 bigint, k2 bigint, at int, s0 int, s1 int"), "anchors")
-    shared = rows.groupBy("ah").agg(F.count("*").alias("c"), F.min("f1").alias("f_low"), F.max("f1").alias("f_high")).where("c > 1")
-    shared = written(shared.select("ah", (F.col("f_low") == F.col("f_high")).alias("alike")), "anchors")  # so that the join below is a plain one, whose hot keys can be split
+    shared = written(rows.groupBy("ah").agg(F.count("*").alias("c")).where("c > 1").select("ah"), "anchors")  # so that the join below is a plain one, whose hot keys can be split
     met = written(rows.join(shared, "ah"), "shared")
     discard(rows, shared)
-    alike = met.where("alike").select("k1", "k2", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
-
-    mixed = met.where("not alike")
-    kinds = written(mixed.groupBy("ah", "f1", "f2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "s0", "s1")).alias("one")).select("ah", "f1", "f2", "c", "one.*"), "kinds")
+    kinds = written(met.groupBy("ah", "f1", "f2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "s0", "s1")).alias("one")).select("ah", "f1", "f2", "c", "one.*"), "kinds")
     start, size = F.col("s0") + 1, F.col("s1") - F.col("s0") + length
     context = F.substring(F.col("text").cast("binary"), start, size).alias("context")
     held = kinds.join(docs, ["k1", "k2"]).select("ah", "f1", "f2", F.col("ah").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("f1").alias("d1"), F.col("f2").alias("d2"), "c", (F.col("at") - F.col("s0")).alias("centre"), F.lit(0).alias("off"), context)
@@ -225,9 +221,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, most_in_group: int = 40
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    spread = mixed.select("ah", "f1", "f2", "k1", "k2", "s0").join(every, ["ah", "f1", "f2"]).select("k1", "k2", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi"))
-    return alike.unionByName(spread)
-
+    return met.select("ah", "f1", "f2", "k1", "k2", "s0").join(every, ["ah", "f1", "f2"]).select("k1", "k2", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi"))
 
 def covered(size: int, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that windows starting at lo to hi cover."""

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: The rules of the query, as (host, path, verdict).
 RULES = (
     ("org", "/", "allow"),
@@ -118,17 +120,17 @@ class BoostedTrees:
         return 1 / (1 + F.exp(-total))
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, most_labelled: int = 20_000, most_suffixes: int = 200, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, most_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """`pages` (page_id, url, more) with host, path, rule, block_score and verdict (allow or block).
 
     The longest fitting rule decides; without one the trees do: block at `threshold` or more. They learn from
-    `labelled` (url, blocked 0/1), or from the urls of `pages` that a rule decides. The fit reads at most
-    `most_labelled` of those rows, the first by a hash of the url; features of suffixes cover the `most_suffixes`
-    commonest among them, others get the prior. Everything else covers every row, in one pass without a shuffle.
+    `labelled` (url, blocked 0/1), or from the urls of `pages` that a rule decides. The fit reads `most_labelled` or
+    fewer different ones of those rows, the first by a hash of the url. The rate of blocked urls of each suffix is summed
+    over all labelled rows, of every suffix, and joined; suffixes without a label get the prior.
 
     Null url, or one without `://`: host and path empty, no rule, judged by the trees. Empty tables: empty. Without
-    labelled rows every score is one half of the prior's logit 0: 0.5. Repeated rows: each for itself. Columns of
-    `pages` named like the added ones are replaced.
+    labelled rows every score is one half of the prior's logit 0: 0.5. Repeated rows: each for itself, fitted once.
+    Very long urls: whole. Columns of `pages` named like the added ones are replaced.
     """
     host, path = split_url(F.col("url"))
     rows = pages.withColumns({"host": host, "path": path})
@@ -138,24 +140,24 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
         known = rows.where("rule is not null").select("url", "host", "path", (F.col("__ruled") == "block").cast("int").alias("y"))
     else:
         known = labelled.select("url", host.alias("host"), path.alias("path"), F.col("blocked").cast("int").alias("y")).where("y is not null")
-    sample = known.orderBy(F.xxhash64("url"), "url").limit(most_labelled)
     suffix = F.element_at(F.split(F.col("host"), r"\."), -1)
+    rates = written(known.groupBy(suffix.alias("__suffix")).agg(F.count("*").alias("n"), F.sum("y").alias("s")), "suffixes")
+    whole = rates.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    prior = whole["s"] / whole["n"] if whole["n"] else 0.5
+    rate = (F.col("s") + 10 * prior) / (F.col("n") + 10)
+    # Twice as many by the hash as are wanted; only those are ordered.
+    place = F.xxhash64("url")
+    near = known.where(F.pmod(place, F.lit(1 << 20)) <= 2 * most_labelled / max(whole["n"] or 0, 1) * (1 << 20)).distinct()
+    sample = near.orderBy(place, "url", "y").limit(most_labelled)
     found = features(F.col("url"), F.col("host"), F.col("path"))
-    fit = sample.select("y", suffix.alias("suffix"), *[c.alias(k) for k, c in found.items()]).collect()
+    rates = rates.select("__suffix", rate.alias("__suffix_rate"))
+    fit = sample.withColumn("__suffix", suffix).join(rates, "__suffix").select("y", F.col("__suffix_rate").alias("suffix_rate"), *[c.alias(k) for k, c in found.items()]).orderBy(place, "url", "y").collect()
     y = np.array([r["y"] for r in fit], float)
-    prior = float(y.mean()) if len(y) else 0.5
-    by: dict[str, list[float]] = {}
-    for r in fit:
-        by.setdefault(r["suffix"], []).append(r["y"])
-    common = sorted(by, key=lambda s: (-len(by[s]), s))[:most_suffixes]
-    rates = {s: (sum(by[s]) + 10 * prior) / (len(by[s]) + 10) for s in common}
     names = [*found, "suffix_rate"]
-    x = np.array([[*[r[k] for k in found], rates.get(r["suffix"], prior)] for r in fit], float).reshape(len(fit), len(names))
+    x = np.array([[*[r[k] for k in found], r["suffix_rate"]] for r in fit], float).reshape(len(fit), len(names))
     model = BoostedTrees().fit(names, x, y)
-    rate = F.lit(prior)
-    for s, v in rates.items():
-        rate = F.when(F.col("__suffix") == s, v).otherwise(rate)
-    ready = rows.withColumns({"__suffix": suffix, **{f"__{k}": c for k, c in found.items()}}).withColumn("__suffix_rate", rate)
+    rated = rows.withColumn("__suffix", suffix).join(rates, "__suffix", "left")
+    ready = rated.withColumns({f"__{k}": c for k, c in found.items()} | {"__suffix_rate": F.coalesce("__suffix_rate", F.lit(float(prior)))})
     scored = ready.withColumn("block_score", model.column({k: F.col(f"__{k}") for k in names}))
     judged = F.coalesce(F.col("__ruled"), F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return scored.withColumn("verdict", judged).drop("__ruled", "__suffix", *[f"__{k}" for k in names])
