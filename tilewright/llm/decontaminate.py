@@ -14,8 +14,8 @@ SHINGLE = 5
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 WORDS = r"[^\p{L}\p{N}]+"
 
-#: The sieve that documents' shingles pass before the join: bytes of SIEVE_BITS bits each, and at which bits of a hash its tests read byte and bit.
-SIEVE_BYTES, SIEVE_BITS, SIEVE_PLACES = 1 << 20, 7, ((0, 44), (14, 50), (28, 56), (44, 7))
+#: Shingles of items, with their items' lengths, that are sent to every task, at most (about 30 MB); more are joined by a shuffle.
+MOST_SENT = 1_000_000
 
 _SIMHASH = (
     "aggregate(sequence(0, 63), 0L, (f, j) -> f | CASE WHEN "
@@ -45,29 +45,6 @@ def shingled(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
     return fixed(rows, "hashes", F.expr(runs)).drop("words")
 
 
-def spots(h: Column) -> Column:
-    """The places (at, bit) of a hash in the sieve."""
-    part = lambda shift, mask: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask))
-    return F.array(*[F.struct(part(at, SIEVE_BYTES - 1).cast("int").alias("at"), F.pmod(part(bit, 63), F.lit(SIEVE_BITS)).cast("int").alias("bit")) for at, bit in SIEVE_PLACES])
-
-
-def sieve(index: DataFrame) -> bytes:
-    """A Bloom filter of the hashes `h`, of a fixed size, built from grouped bits; SIEVE_BITS bits a byte keep it ASCII."""
-    out = bytearray(SIEVE_BYTES)
-    for r in index.select(F.explode(spots(F.col("h"))).alias("s")).groupBy("s.at").agg(F.expr("bit_or(shiftleft(1, s.bit))").alias("bits")).toLocalIterator():
-        out[r["at"]] = r["bits"]
-    return bytes(out)
-
-
-def passes(bits: bytes, h: Column) -> Column:
-    """Does a hash pass the sieve? The sieve stands in the plan once."""
-    def told(s: Column) -> Column:
-        byte = F.ascii(F.substring(F.lit(bytearray(bits)), s["at"] + 1, F.lit(1)).cast("string"))
-        return F.call_function("shiftright", byte, s["bit"]).bitwiseAND(F.lit(1)) == 1
-
-    return F.forall(spots(h), told)
-
-
 def fixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """`rows` with a column that is computed once: no filter or projection above has its expression copied in."""
     return rows.select("*", F.explode(F.array(value)).alias(name))
@@ -91,14 +68,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
 
     A document's windows are as long as an item, in words, and hold as many shingles of items of that length as
     `similarity` cannot do without. Of those only the ones that end in such a shingle, or start the text, are tried: any
-    other has one to its left that is no worse, so an item's best window, the first of equals, is among them. Each window's SimHash is matched with those of all items of its
-    length: blocks of the fingerprint, with up to radius // 7 bits flipped on the items' side, find every item within
+    other has one to its left that is no worse, so an item's best window, the first of equals, is among them. Each
+    window's SimHash is matched with those of all items of its length: blocks of the fingerprint, with up to radius // 7 bits flipped on the items' side, find every item within
     `radius`; then the multiset similarity of the shingles, at least `similarity`, decides. The best window of each
     item stays. (Copies of 0.8 differ in 10 of 64 bits on average; 20 is 3.5 standard deviations more.)
 
-    Documents are scanned once for each shingle width (five words; fewer only for shorter items) without a shuffle; only
-    those go on that hold some shingle of an item by a sieve of fixed size, and a join with the items' shingles settles
-    that. The same plan at every size; a benchmark of very many items only lets more through the sieve.
+    Documents are scanned for each shingle width (five words; fewer only for shorter items) and joined with the items'
+    shingles, which go to every task if `MOST_SENT` or fewer, counted first. What matches is shuffled, and no text, but
+    those of the documents that have a window to try, read again.
 
     Null or empty texts: no rows. An item of fewer than five words is one shingle as a whole. Very long texts: all their
     windows. Repeated rows count once, ids that stand for different texts keep their best window. Empty tables: empty.
@@ -118,17 +95,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
 def _leaks(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     items = written(items.select("item_id", "hashes").distinct(), "items")
     index = items.select(F.size("hashes").alias("n"), F.explode("hashes").alias("h")).distinct()
-    bits = sieve(index.select("h").distinct())
-    base = shingled(worded(docs.select("doc_id", "text").where("text is not null")), width).select("doc_id", row_key("doc_id", "text").alias("key"), "hashes")
-    hits = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda s: passes(bits, s["h"]))
-    held = written(fixed(base, "hits", hits).where("size(hits) > 0"), "held")
-    found = held.select("key", F.size("hashes").alias("size"), F.inline("hits"))
-    lined = found.join(index, "h").groupBy("key", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"), F.max("size").alias("size"))
+    index = written(index, "index")
+    base = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")).where("text is not null")
+    words = shingled(worded(base.select("key", "text")), width).select("key", F.size("hashes").alias("size"), F.posexplode("hashes").alias("pos", "h"))
+    found = words.join(F.broadcast(index) if index.count() <= MOST_SENT else index, "h")
+    lined = found.groupBy("key", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"), F.max("size").alias("size"))
     lined = fixed(lined, "need", least_shared(F.col("n"), F.col("size"), similarity)).where("size(p) >= need")
     starts = F.expr("transform(p, (x, i) -> IF(get(p, i - need + 1) > x - n, greatest(0, x - n + 1), NULL))")
     windows = lined.select("key", "n", F.explode(F.array_distinct(starts)).alias("start")).where("start is not null")
-    windows = windows.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
-    placed = held.select("key", "doc_id", "hashes").distinct().join(windows, "key").select("key", "doc_id", "hashes", F.inline("windows"))
+    windows = written(windows.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows")), "windows")
+    again = shingled(worded(base.join(windows, "key").dropDuplicates(["key"])), width)
+    placed = again.select("key", "doc_id", "hashes", F.inline("windows"))
     placed = fixed(placed, "a", F.expr("slice(hashes, start + 1, n)")).drop("hashes")
     marked = fixed(placed, "f", F.expr(_SIMHASH.format(h="a")))
     theirs = items.select("item_id", F.size("hashes").alias("n"), F.col("hashes").alias("b"), F.expr(_SIMHASH.format(h="hashes")).alias("g"))
