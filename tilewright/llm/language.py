@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, quoted, slices
+from .common import prepare, quoted, slices, written
 
 #: Hashed dimensions of the byte n-grams, by n.
 SIZES = {1: 256, 2: 2048, 3: 4096}
@@ -87,7 +87,7 @@ def identify(docs: DataFrame, learn: DataFrame, per_language: int = 500, landmar
     prepare(docs.sparkSession)
     known = learn.where("text is not null and lang is not null").select(F.col("text"), F.col("lang").cast("string").alias("lang"))
     # Four times as many by the hash as are wanted; then the first of each language, ordered, from what little is left.
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * per_language / F.count("*")).alias("__share"))
+    share = written(known.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * per_language / F.count("*")).alias("__share")), "shares")  # written: its size is known, so texts aren't shuffled for it
     near = known.withColumn("__place", F.xxhash64("text")).join(share, "lang").where(F.pmod("__place", F.lit(1_000_000)) < F.col("__share") * 1_000_000)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("__place", "text"))
     chosen = near.select("text", "lang", "__place").distinct().withColumn("__first", first).where(F.col("__first") <= per_language).select("text", "lang")
