@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Relation names of the interface.
 RELATIONS = ("equals", "disjoint", "intersects", "touches", "crosses", "within", "contains", "overlaps", "covers", "coveredby", "DE9IM")
 SWAPPED = {"within": "contains", "contains": "within", "covers": "coveredby", "coveredby": "covers"}
 
@@ -177,6 +178,37 @@ def common_tiles(a: Column, b: Column, theta: Theta) -> Column:
     return x * y
 
 
+def tiles_meet(a: Column, b: Column, tiles_a: Column, tiles_b: Column) -> Column:
+    """The envelopes intersect, and the sets of tiles that the parts lie in have one in common."""
+    return intersects(a, b) & F.arrays_overlap(tiles_a, tiles_b)
+
+
+def fine_common_tiles(parts_a: Column, parts_b: Column, theta: Theta) -> Column:
+    """Common tiles summed over all pairs of parts that intersect, without the one more per axis."""
+    def one(p: Column, q: Column) -> Column:
+        x = F.least(F.ceil(p["maxx"] / theta.x), F.ceil(q["maxx"] / theta.x)) - F.greatest(F.floor(p["minx"] / theta.x), F.floor(q["minx"] / theta.x))
+        y = F.least(F.ceil(p["maxy"] / theta.y), F.ceil(q["maxy"] / theta.y)) - F.greatest(F.floor(p["miny"] / theta.y), F.floor(q["miny"] / theta.y))
+        return F.when(intersects(p, q), x * y).otherwise(F.lit(0).cast("bigint"))
+
+    return F.aggregate(F.flatten(F.transform(parts_a, lambda p: F.transform(parts_b, lambda q: one(p, q)))), F.lit(0).cast("bigint"), lambda n, c: n + c)
+
+
+def fine_reference_point(a: Column, b: Column, parts_a: Column, parts_b: Column, theta: Theta) -> tuple[Column, Column]:
+    """`reference_point` of the first parts that meet, of the envelopes if none do."""
+    pair = first_meeting(parts_a, parts_b)
+    return tuple(F.coalesce(p, q) for p, q in zip(reference_point(pair["source"], pair["target"], theta), reference_point(a, b, theta), strict=True))
+
+
+def split_granularity(e: Column, theta: Theta, base: float = 50.0) -> tuple[Column, Column]:
+    """Size of the parts that an envelope is cut into: theta, more or less by the logarithm to `base` of its width in tiles."""
+    def ratio(extent: Column, step: float) -> Column:
+        times = F.ceil(extent / step).cast("double")
+        fewer = F.ceil(times / (F.log10(times + 1) / F.log10(F.lit(base))))
+        return F.when(times != 0, times / fewer).otherwise(1.0) * step
+
+    return ratio(width(e), theta.x), ratio(height(e), theta.y)
+
+
 def fine_tile_count(parts: Column, theta: Theta) -> Column:
     """Over parts, without the one more per axis."""
     def one(p: Column) -> Column:
@@ -185,6 +217,16 @@ def fine_tile_count(parts: Column, theta: Theta) -> Column:
     return F.aggregate(F.transform(parts, one), F.lit(0).cast("bigint"), lambda n, c: n + c)
 
 
+def box_relations(a: Column, b: Column) -> dict[str, Column]:
+    """The relations of two axis-parallel boxes with an area each, from their corners."""
+    meet, has, lies = intersects(a, b), contains(a, b), contains(b, a)
+    inner = (a["minx"] < b["maxx"]) & (a["maxx"] > b["minx"]) & (a["miny"] < b["maxy"]) & (a["maxy"] > b["miny"])
+    return {
+        "contains": has, "coveredby": lies, "covers": has, "crosses": F.lit(False), "equals": has & lies, "intersects": meet,
+        "overlaps": inner & ~has & ~lies, "touches": meet & ~inner, "within": lies, "disjoint": ~meet,
+    }
+
+
 def box_matrix(a: Column, b: Column) -> Column:
     """DE-9IM matrix of two axis-parallel boxes with an area each, without a kernel."""
     meet = intersects(a, b)

@@ -37,6 +37,55 @@ def segment_batches(pairs: DataFrame, batch: int = 256) -> DataFrame:
     return joined.groupBy("t_id", "segment_set", "batch").agg(F.collect_list("s_id").alias("s_ids"))
 
 
+def segment_sets(pairs: DataFrame) -> DataFrame:
+    """For each target and set of its segments: the sources that touch just those; a set of sets stands for the trie of prefixes."""
+    return pairs.groupBy("t_id", F.array_sort("segments").alias("segment_set")).agg(F.sort_array(F.collect_list("s_id")).alias("s_ids"))
+
+
+def balanced_sets(sets: DataFrame, points: int = 1, average: int = 20_000, buffer: int = 5_000) -> DataFrame:
+    """`segment_sets` with `into`: a set whose cost (sources times segments times `points`) is under average - buffer moves its sources
+    into the cheapest set of the target that holds one segment more, as long as both cost less than average + buffer.
+
+    So small sets are verified together, against some segments that they don't touch.
+    """
+    cost = F.size("s_ids") * F.size("segment_set") * points
+    small = sets.withColumn("cost", cost).where(F.col("cost") < average - buffer)
+    wider = sets.select("t_id", F.col("segment_set").alias("wider"), cost.alias("wider_cost"))
+    near = small.join(wider, "t_id").where((F.size("wider") == F.size("segment_set") + 1) & (F.size(F.array_except("segment_set", "wider")) == 0))
+    total = F.col("cost") + F.col("wider_cost")
+    chosen = near.where(total < average + buffer).groupBy("t_id", "segment_set").agg(F.min_by("wider", F.struct("wider_cost", "wider")).alias("into"))
+    return sets.join(chosen, ["t_id", "segment_set"], "left").withColumn("into", F.coalesce("into", "segment_set"))
+
+
+def execute_batches(batches: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Verified pairs of `segment_batches`: a row each, with `im`; a batch is a unit of the shuffle, not a list in a task."""
+    from . import interlink
+
+    rows = batches.select("t_id", F.explode("s_ids").alias("s_id"))
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    return interlink.verify(rows.join(side(source, "s"), "s_id").join(side(target, "t"), "t_id"))
+
+
+def borders(parts: DataFrame, t: E.Theta | None = None) -> DataFrame:
+    """Partitions (pid, border) in tiles, if `t` is given, with the outermost sides pushed out past the next whole number."""
+    ready = parts.withColumn("border", E.scaled(F.col("border"), t)) if t else parts
+    b = F.col("border")
+    whole = ready.agg(*[f(b[c]).alias(c) for c, f in (("minx", F.min), ("miny", F.min), ("maxx", F.max), ("maxy", F.max))])
+    out = ready.join(F.broadcast(whole.select(F.struct("*").alias("all"))))  # one row
+    low = lambda c: F.when(b[c] == F.col("all")[c], F.floor(b[c]) - 1.0).otherwise(b[c])
+    high = lambda c: F.when(b[c] == F.col("all")[c], F.ceil(b[c]) + 1.0).otherwise(b[c])
+    return out.select("pid", E.box(low("minx"), low("miny"), high("maxx"), high("maxy")).alias("border"))
+
+
+def partition_report(source: DataFrame, target: DataFrame, pid, t: E.Theta | None = None) -> DataFrame:
+    """For each partition (`pid`, a column of the entities): sources, targets, its border, and how many borders there are."""
+    e = F.col("env")
+    both = source.select("env", pid.alias("pid"), F.lit(1).alias("s")).unionByName(target.select("env", pid.alias("pid"), F.lit(0).alias("s")))
+    sizes = both.groupBy("pid").agg(F.sum("s").alias("sources"), F.sum(1 - F.col("s")).alias("targets"), E.box(F.min(e["minx"]), F.min(e["miny"]), F.max(e["maxx"]), F.max(e["maxy"])).alias("border"))
+    out = sizes.select("pid", "sources", "targets").join(borders(sizes.select("pid", "border"), t), "pid")
+    return out.join(F.broadcast(out.agg(F.count_distinct("border").alias("unique_borders"))))
+
+
 def statistics(source: DataFrame, target: DataFrame, t: E.Theta, threshold: float = 10.0) -> DataFrame:
     """One row: counts, Cartesian size, shares of entities wider or taller than theta times `threshold`, a tile's area."""
     def of(df: DataFrame, p: str) -> DataFrame:

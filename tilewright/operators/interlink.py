@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,26 @@ def theta(source: DataFrame, option: str = "avg", scale: float = 1.0) -> E.Theta
     return E.Theta((r["x"] or 1.0) * half or 1.0, (r["y"] or 1.0) * half or 1.0) * scale
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Tile size, and the grid levels that the entities of both sides need."""
+
+    theta: E.Theta
+    levels: tuple[int, ...] = (0,)
+
+
+def grid(source: DataFrame, target: DataFrame, option: str = "avg", scale: float = 1.0, most: int = 6) -> Grid:
+    """`theta` and the levels from one pass over both sides."""
+    w, h, mine = E.width(F.col("env")), E.height(F.col("env")), F.col("mine")
+    both = source.select("env", F.lit(True).alias("mine")).unionByName(target.select("env", F.lit(False).alias("mine")))
+    pick = {"avg": F.avg, "avg2": F.avg, "max": F.max, "min": lambda c: F.min(F.when(c > 0, c)), "none": F.avg}[option]
+    r = both.agg(pick(F.when(mine, w)).alias("x"), pick(F.when(mine, h)).alias("y"), F.max(w).alias("w"), F.max(h).alias("h")).first()
+    half = 0.5 if option == "avg2" else 1.0
+    t = (E.Theta() if option == "none" else E.Theta((r["x"] or 1.0) * half or 1.0, (r["y"] or 1.0) * half or 1.0)) * scale
+    span = max((r["w"] or 0.0) / t.x, (r["h"] or 0.0) / t.y, 1.0)
+    return Grid(t, tuple(range(min(most, max(0, math.ceil(math.log(span, LEVEL)) - 1)) + 1)))
+
+
 def _level(env: Column, t: E.Theta, most: int) -> Column:
     """The lowest grid level on which an envelope spans at most about LEVEL tiles an axis."""
     span = F.greatest(E.width(env) / t.x, E.height(env) / t.y, F.lit(1.0))
@@ -54,23 +77,30 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def candidates(source: DataFrame, target: DataFrame, t: E.Theta, relation: str = "DE9IM", temporal: bool = False, fine: bool = False, levels: int = 6) -> DataFrame:
+def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation: str = "DE9IM", temporal: bool = False, fine: bool = False, levels: int = 6) -> DataFrame:
     """Pairs of entities (id, env, ...) whose envelopes can have `relation`: columns s_* and t_*, each pair once.
 
     Both sides are dealt to the tiles of a grid in levels, large entities to wide tiles, so no entity has more than a
     few tiles a level; an equi-join on (lane, level, tile) at the larger of both levels meets each pair in one tile or more,
-    and the pair answers only in that of the low corner of their intersection. Disjoint is judged among those pairs.
+    and the pair answers only in that of the low corner of their intersection. The levels are those of a `Grid`; for a
+    bare tile size a pass over the sides finds them, over the source alone if the target is a stream.
     `temporal`: entities must lie less than two days apart (`ts`); `fine`: some of their parts (`envs`) must meet.
     """
-    level = _level(F.col("env"), t, levels).alias("level")
-    used = sorted(r["level"] for r in source.select(level).union(target.select(level)).distinct().collect()) or [0]
+    if relation == "disjoint":
+        raise ValueError("disjoint entities share no tile; relate(..., 'disjoint') makes all other pairs")
+    if isinstance(t, Grid):
+        t, used = t.theta, list(t.levels)
+    else:
+        level = _level(F.col("env"), t, levels).alias("level")
+        sides = source.select(level) if target.isStreaming else source.select(level).union(target.select(level))
+        used = list(range((sides.agg(F.max("level")).first()[0] or 0) + 1))
     s, u = _prefixed(_tiled(source, t, used, True), "s_"), _prefixed(_tiled(target, t, used, False), "t_")
     a, b = F.col("s_env"), F.col("t_env")
     factor = F.pow(F.lit(float(LEVEL)), F.col("s_grid"))
     once = (F.floor(F.greatest(a["minx"], b["minx"]) / (factor * t.x)) == F.col("s_tx")) & (F.floor(F.greatest(a["miny"], b["miny"]) / (factor * t.y)) == F.col("s_ty"))
     met = (F.col("s_lane") == F.col("t_lane")) & (F.col("s_grid") == F.col("t_grid")) & (F.col("s_tx") == F.col("t_tx")) & (F.col("s_ty") == F.col("t_ty"))
     test = E.intersects(a, b)
-    if relation not in ("disjoint", "touches", "DE9IM"):
+    if relation not in ("touches", "DE9IM"):
         test = test & E.check(a, b, relation)
     if temporal:
         test = test & E.near_days(F.col("s_ts"), F.col("t_ts"))
@@ -85,12 +115,25 @@ def dirty_candidates(entities: DataFrame, t: E.Theta, **options) -> DataFrame:
     return candidates(entities, entities, t, **options).where("s_id < t_id")
 
 
+def _boxes_only(pairs: DataFrame) -> bool:
+    return {"s_is_box", "t_is_box"} <= set(pairs.columns) and "s_wkb" not in pairs.columns
+
+
+def _sure_boxes(pairs: DataFrame) -> DataFrame:
+    """Pairs of boxes; anything else fails, as without WKB it can't be verified."""
+    missing = F.raise_error(F.lit("entities that aren't boxes need WKB to be verified")).cast("boolean")
+    return pairs.where(F.when(F.col("s_is_box") & F.col("t_is_box"), True).otherwise(missing))
+
+
 def verify(pairs: DataFrame) -> DataFrame:
-    """`pairs` with `im`: by columns alone for boxes (s_is_box, t_is_box), else by the exact kernel on Arrow batches of WKB."""
+    """`pairs` with `im`: by columns alone for boxes (s_is_box, t_is_box), else by the exact kernel on Arrow batches of WKB.
+
+    Without WKB every entity must be a box; a pair with another one fails.
+    """
     boxes = {"s_is_box", "t_is_box"} <= set(pairs.columns)
+    if _boxes_only(pairs):
+        return _sure_boxes(pairs).withColumn("im", E.box_matrix(F.col("s_env"), F.col("t_env")))
     plain = pairs.where("s_is_box and t_is_box").withColumn("im", E.box_matrix(F.col("s_env"), F.col("t_env"))) if boxes else None
-    if boxes and "s_wkb" not in pairs.columns:
-        return plain
 
     @F.pandas_udf("string")
     def kernel(s, t):
@@ -115,22 +158,76 @@ def verify(pairs: DataFrame) -> DataFrame:
     return plain.unionByName(checked) if boxes else checked
 
 
-def de9im(source: DataFrame, target: DataFrame, t: E.Theta, **options) -> DataFrame:
+def de9im(source: DataFrame, target: DataFrame, t: E.Theta | Grid, **options) -> DataFrame:
     """Verified pairs (source_id, target_id, im and a boolean for each relation)."""
-    checked = verify(candidates(source, target, t, **options))
-    named = M.with_relations(checked)
+    pairs = candidates(source, target, t, **options)
+    if _boxes_only(pairs):
+        found = E.box_relations(F.col("s_env"), F.col("t_env"))
+        named = verify(pairs).withColumns({n: found[n] for n in M.NAMES})
+    else:
+        named = M.with_relations(verify(pairs))
     return named.select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"), "im", "s_dim", "t_dim", *M.NAMES)
 
 
-def relate(source: DataFrame, target: DataFrame, relation: str, t: E.Theta, **options) -> DataFrame:
-    """Pairs (source_id, target_id) that have a relation; DE9IM stands for not disjoint."""
-    checked = verify(candidates(source, target, t, relation=relation, **options))
-    return checked.where(M.holds(relation, F.col("im"), F.col("s_dim"), F.col("t_dim"))).select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"))
+def relate(source: DataFrame, target: DataFrame, relation: str, t: E.Theta | Grid, **options) -> DataFrame:
+    """Pairs (source_id, target_id) that have a relation; DE9IM stands for not disjoint.
 
+    Disjoint pairs are all pairs but those that intersect: nearly |source| x |target| rows, so ask for them on small sides.
+    """
+    if relation == "disjoint":
+        met = relate(source, target, "intersects", t, **options)
+        every = source.select(F.col("id").alias("source_id")).crossJoin(target.select(F.col("id").alias("target_id")))
+        return every.join(met, ["source_id", "target_id"], "left_anti")
+    pairs = candidates(source, target, t, relation=relation, **options)
+    if _boxes_only(pairs):
+        good = _sure_boxes(pairs).where(E.box_relations(F.col("s_env"), F.col("t_env"))["intersects" if relation == "DE9IM" else relation])
+    else:
+        good = verify(pairs).where(M.holds(relation, F.col("im"), F.col("s_dim"), F.col("t_dim")))
+    return good.select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"))
+
+
+def relate_decomposed(pairs: DataFrame) -> DataFrame:
+    """`pairs` with `im`, from entities with `segments` (WKB of their parts): only those pairs go to the kernel of which some parts' envelopes (`envs`) meet.
+
+    The others are disjoint, and their matrix follows from the dimensions. Same result as `verify`.
+    """
+    near = E.fine_intersects(F.col("s_env"), F.col("t_env"), F.col("s_envs"), F.col("t_envs"))
+    edge = lambda d: F.when(F.col(d) == 0, "F").otherwise((F.col(d) - 1).cast("string"))
+    apart = F.concat(F.lit("FF"), F.col("s_dim").cast("string"), F.lit("FF"), edge("s_dim"), F.col("t_dim").cast("string"), edge("t_dim"), F.lit("2"))
+    # A closed line has no boundary, so lines that are apart still go to the kernel.
+    sure = ~near & (F.col("s_dim") != 1) & (F.col("t_dim") != 1)
+    return verify(pairs.where(~sure)).unionByName(pairs.where(sure).withColumn("im", apart))
 
-def verifications(pairs: DataFrame) -> DataFrame:
-    """Each target with the sources that it must be verified against."""
-    return pairs.groupBy(F.col("t_id").alias("target_id")).agg(F.sort_array(F.collect_list("s_id")).alias("source_ids"), F.count("*").alias("n"))
+
+def rule_based(pairs: DataFrame) -> DataFrame:
+    """Compatibility: `pairs` with `im`, the matrices of their parts (`segments`) added up in the order of how their envelopes meet.
+
+    Parts whose envelopes contain each other come first, those of the same extent on one axis last; parts that don't
+    meet end the run, as does a sum that is both equals and crosses or overlaps. Inexact by design: cells of parts say
+    less than those of the whole.
+    """
+
+    @F.pandas_udf("string")
+    def run(s, t):
+        import pandas as pd
+
+        from ..functions import geometry as G
+
+        return pd.Series([G.rule_based([G.from_wkb(bytes(x)) for x in a], [G.from_wkb(bytes(x)) for x in b]) for a, b in zip(s, t, strict=True)])
+
+    return pairs.withColumn("im", run("s_segments", "t_segments"))
+
+
+def verifications(pairs: DataFrame, most: int = 100_000) -> DataFrame:
+    """Each target with the sources that it must be verified against; `most` or so in a row, the rest in further ones."""
+    counted = pairs.groupBy("t_id").agg(F.ceil(F.count("*") / most).alias("rows"))
+    dealt = pairs.select("t_id", "s_id").join(counted, "t_id").withColumn("row", F.pmod(F.xxhash64("s_id"), F.col("rows")))
+    return dealt.groupBy(F.col("t_id").alias("target_id"), "row").agg(F.sort_array(F.collect_list("s_id")).alias("source_ids"), F.count("*").alias("n")).drop("row")
+
+
+def partition_totals(pairs: DataFrame, by: Column) -> DataFrame:
+    """For each partition `by`: its verifications and the most points of an entity in them."""
+    return pairs.groupBy(by.alias("pid")).agg(F.count("*").alias("verifications"), F.max(F.greatest("s_npoints", "t_npoints")).alias("most_points"))
 
 
 def unlinked(entities: DataFrame, links: DataFrame, side: str = "source_id") -> DataFrame:
@@ -138,7 +235,10 @@ def unlinked(entities: DataFrame, links: DataFrame, side: str = "source_id") ->
     return entities.join(links.select(F.col(side).alias("id")).distinct(), "id", "left_anti")
 
 
-def theta_join(spark, source_view: str, target_view: str, relation: str, t: E.Theta) -> DataFrame:
-    """The SQL front end: `SELECT ... WHERE ST_<relation>(a, b)` over two views, run as the tile join."""
+def theta_join(spark, source_view: str, target_view: str, relation: str, t: E.Theta | Grid, compat: bool = False) -> DataFrame:
+    """The SQL front end: `SELECT ... WHERE ST_<relation>(a, b)` over two views, run as the tile join.
+
+    `compat` takes covers, coveredby, disjoint and DE9IM for intersects.
+    """
     known = {"intersects", "contains", "within", "touches", "crosses", "overlaps", "equals"}
-    return relate(spark.table(source_view), spark.table(target_view), relation if relation in known else "intersects", t)
+    return relate(spark.table(source_view), spark.table(target_view), relation if relation in known or not compat else "intersects", t)

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import envelope as E
+from ..plans.scratch import written
 
+#: Names of the interface.
 WEIGHTS = ("CF", "JS", "PEARSON_X2", "MBRO", "ISP")
 SCHEMES = ("SIMPLE", "COMPOSITE", "HYBRID", "THIN_MULTI_COMPOSITE")
 ALGORITHMS = ("PROGRESSIVE_GIANT", "DYNAMIC_PROGRESSIVE_GIANT", "GEOMETRY_CENTRIC", "TOPK", "RECIPROCAL_TOPK", "RANDOM", "EARLY_STOPPING")
@@ -63,26 +65,49 @@ def weighted(pairs: DataFrame, t: E.Theta, blocks: float, main: str = "JS", seco
     return ranked(pairs.withColumns(columns), scheme)
 
 
+def _key(scheme: str, mw, sw, lw, zero) -> tuple:
+    """What a scheme orders by, the best first."""
+    return {"SIMPLE": (mw, zero, zero), "COMPOSITE": (mw, sw, zero), "HYBRID": (mw * sw, zero, zero), "THIN_MULTI_COMPOSITE": (mw, sw, lw)}[scheme]
+
+
 def ranked(pairs: DataFrame, scheme: str) -> DataFrame:
-    mw, sw, lw = F.col("mw"), F.col("sw"), F.col("lw")
-    key = {"SIMPLE": (mw, F.lit(0.0), F.lit(0.0)), "COMPOSITE": (mw, sw, F.lit(0.0)), "HYBRID": (mw * sw, F.lit(0.0), F.lit(0.0)), "THIN_MULTI_COMPOSITE": (mw, sw, lw)}[scheme]
+    key = _key(scheme, F.col("mw"), F.col("sw"), F.col("lw"), F.lit(0.0))
     return pairs.withColumn("rank_key", F.struct(*[k.alias(n) for k, n in zip(key, ("a", "b", "c"), strict=True)]))
 
 
+def best_first(compat: bool = False) -> list[Column]:
+    """Order of verification; ties by ids, so that it's the same on every run. `compat`: by `counter`, the higher first."""
+    return [F.desc("rank_key"), *([F.desc("counter")] if compat else [F.asc("s_id"), F.asc("t_id")])]
+
 
-def best_first() -> list[Column]:
-    """Order of verification; ties by ids, so that it's the same on every run."""
-    return [F.desc("rank_key"), F.asc("s_id"), F.asc("t_id")]
+def placed(pairs: DataFrame, order: list[Column], budget: int) -> DataFrame:
+    """The first `budget` pairs in an order, with their place in `rank` (1 is first).
+
+    Range-partitioned and sorted, counted for each partition, and offset by the counts: no task holds all of them.
+    """
+    spot = F.monotonically_increasing_id()
+    sorted_ = written(pairs.orderBy(*order).withColumn("spot", spot), "sorted")
+    part = F.shiftright("spot", 33)
+    offsets, before = [], 0
+    for r in sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["n"]
+    spark = pairs.sparkSession
+    starts = F.broadcast(spark.createDataFrame(offsets, "part bigint, before bigint"))
+    out = sorted_.withColumn("part", part).join(starts, "part").withColumn("rank", F.col("before") + F.col("spot").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return out.where(F.col("rank") <= budget).drop("spot", "part", "before")
 
 
 def schedule(pairs: DataFrame, algorithm: str, budget: int, sources: int = 0, targets: int = 0, seed: int = 0) -> DataFrame:
     """The `budget` pairs to verify, with their place in `rank` (1 is first).
 
-    RANDOM orders by a hash of both ids; TOPK keeps the k best pairs of each source and each target, RECIPROCAL_TOPK
+    RANDOM orders by a hash (MD5) of the seed and both ids; GEOMETRY_CENTRIC has no order of its own and is refused; TOPK keeps the k best pairs of each source and each target, RECIPROCAL_TOPK
     those among the k best of both; the others take the best pairs overall.
     """
+    if algorithm not in ALGORITHMS or algorithm == "GEOMETRY_CENTRIC":
+        raise ValueError(f"no schedule for {algorithm!r}")
     if algorithm == "RANDOM":
-        pairs = pairs.withColumn("rank_key", F.struct(F.xxhash64(F.lit(seed), "s_id", "t_id").alias("a")))
+        pairs = pairs.withColumn("rank_key", F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("s_id").cast("string"), F.col("t_id").cast("string")).cast("binary")).alias("a")))
     if algorithm in ("TOPK", "RECIPROCAL_TOPK"):
         if algorithm == "TOPK":
             k_s = k_t = (budget // max(1, sources + targets) + 1) * 2
@@ -92,16 +117,15 @@ def schedule(pairs: DataFrame, algorithm: str, budget: int, sources: int = 0, ta
         pairs = pairs.withColumns({"of_s": of("s_id"), "of_t": of("t_id")})
         near = (F.col("of_s") <= k_s) & (F.col("of_t") <= k_t) if algorithm == "RECIPROCAL_TOPK" else (F.col("of_s") <= k_s) | (F.col("of_t") <= k_t)
         pairs = pairs.where(near).drop("of_s", "of_t")
-    chosen = pairs.orderBy(*best_first()).limit(budget)
-    return chosen.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
+    return placed(pairs, best_first(), budget)
 
 
-def dynamic(scheduled: DataFrame, groups: list[str], compat: bool = False) -> DataFrame:
+def dynamic(scheduled: DataFrame, groups: list[str], scheme: str = "COMPOSITE", compat: bool = False) -> DataFrame:
     """Verification order when each related pair boosts the queued pairs of its source and its target.
 
-    `scheduled` holds mw, sw and related (0/1) and is split by `groups`; in a group a heap with lazy deletion gives the
-    pair of the highest (1 + matches) * mw, then sw, next. A group's queue is bounded by its budget. `compat` leaves
-    out the last pair.
+    `scheduled` holds mw, sw, lw (or not) and related (0/1) and is split by `groups`; in a group a heap with lazy deletion
+    gives the best pair by `scheme` next, where mw and sw count 1 + matches times. A group's queue is bounded by its
+    budget. `compat` leaves out the last pair.
     """
     keep = [f for f in scheduled.schema.names]
 
@@ -112,13 +136,15 @@ def dynamic(scheduled: DataFrame, groups: list[str], compat: bool = False) -> Da
         for i, (s, t) in enumerate(zip(part.s_id, part.t_id, strict=True)):
             of.setdefault(("s", s), []).append(i)
             of.setdefault(("t", t), []).append(i)
-        key = lambda i: (-part.mw[i] * (1 + matches[i]), -part.sw[i] * (1 + matches[i]), i)
+        mw, sw = part.mw.tolist(), part.sw.tolist()
+        lw = part.lw.tolist() if "lw" in part else [0.0] * len(part)
+        key = lambda i: (*(-k for k in _key(scheme, mw[i] * (1 + matches[i]), sw[i] * (1 + matches[i]), lw[i], 0.0)), i)
         heap = [key(i) for i in range(len(part))]
         heapq.heapify(heap)
         order, done = [], set()
         while heap:
             k = heapq.heappop(heap)
-            i = k[2]
+            i = k[-1]
             if i in done or k != key(i):
                 continue
             done.add(i)
@@ -153,24 +179,49 @@ def early_stopping(verified: DataFrame, batch: int = 10_000, violations: int = 3
         if streak == violations:
             stop = r["batch"]
             break
-    return verified if stop is None else verified.where(by <= stop)
+    return verified if stop is None else verified.where(F.floor((F.col("rank") - 1) / batch) <= stop)
+
+
+def stop_early(scheduled: DataFrame, verify, batch: int = 10_000, violations: int = 3, precision: float = 0.1) -> DataFrame:
+    """`early_stopping` that verifies as it goes: `verify` adds `related` to scheduled pairs (rank), twice as many batches at a time, until the run ends."""
+    last = scheduled.agg(F.max("rank")).first()[0] or 0
+    done, wave, out = 0, max(1, violations + 1), None
+    while done < last or out is None:
+        part = written(verify(scheduled.where((F.col("rank") > done) & (F.col("rank") <= done + wave * batch))), "verified")
+        out = part if out is None else out.unionByName(part)
+        done, wave = done + wave * batch, wave * 2
+        kept = early_stopping(out, batch, violations, precision)
+        if kept is not out:
+            return kept
+    return out
 
 
 def evaluate(verified: DataFrame, budgets: list[int], total: int) -> DataFrame:
-    """For each budget: verified, qualifying, recall, precision and progressive geometry recall of the pairs (rank, related)."""
-    running = F.sum(F.col("related").cast("long")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    steps = verified.select("rank", "related", running.alias("found"))
-    out = None
-    for b in budgets:
-        part = steps.where(F.col("rank") <= b).agg(F.count("*").alias("verified"), F.sum(F.col("related").cast("long")).alias("qualifying"), F.sum("found").alias("area"))
-        n, most = F.col("verified"), F.least(F.lit(total), F.col("verified"))
-        row = part.select(
-            F.lit(b).cast("long").alias("budget"), "verified", F.coalesce("qualifying", F.lit(0)).alias("qualifying"),
-            F.coalesce(F.try_divide("qualifying", most), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide("qualifying", n), F.lit(0.0)).alias("precision"),
-            F.coalesce(F.try_divide("area", most * n), F.lit(0.0)).alias("pgr"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """For each budget: verified, qualifying, recall, precision and progressive geometry recall of the pairs (rank, related).
+
+    A related pair of rank r counts in the running sums from r to the budget, so all budgets come from one pass of sums.
+    """
+    rank, related = F.col("rank").cast("long"), F.col("related").cast("long")
+    each = F.explode(F.array(*[F.lit(b).cast("long") for b in budgets])).alias("budget")
+    sums = verified.select(rank.alias("rank"), related.alias("related"), each).where(F.col("rank") <= F.col("budget"))
+    part = sums.groupBy("budget").agg(F.count("*").alias("verified"), F.sum("related").alias("qualifying"), F.sum(F.col("related") * (1 - F.col("rank"))).alias("less"))
+    n, most = F.col("verified"), F.least(F.lit(total), F.col("verified"))
+    area = F.col("qualifying") * n + F.col("less")
+    out = part.select(
+        "budget", "verified", F.coalesce("qualifying", F.lit(0)).alias("qualifying"), F.coalesce(F.try_divide("qualifying", most), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide("qualifying", n), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide(area, most * n), F.lit(0.0)).alias("pgr"),
+    )
+    none = verified.sparkSession.createDataFrame([(b,) for b in budgets], "budget bigint").join(out.select("budget"), "budget", "left_anti")
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("verified", "qualifying")] + [F.lit(0.0).alias(c) for c in ("recall", "precision", "pgr")]
+    return out.unionByName(none.select("budget", *zero))
+
+
+def evaluate_run(verified: DataFrame, algorithm: str, budgets: list[int], total: int) -> DataFrame:
+    """The evaluation that an algorithm's run has: an early stop is judged once, as far as it came; others at each budget."""
+    if algorithm == "EARLY_STOPPING":
+        n = verified.count()
+        return evaluate(verified, [min(n, max(budgets))] if n else [0], total)
+    return evaluate(verified, budgets, total)
 
 
 def optimal(budget: int, total: int) -> dict[str, float]:
@@ -183,7 +234,7 @@ def optimal(budget: int, total: int) -> dict[str, float]:
 
 
 def grid_search(verified: DataFrame, batches: list[int], precisions: list[float], violations: list[int]) -> list[dict]:
-    """Early stopping over all combinations, the most precise first."""
+    """Early stopping over all combinations, the most precise first; the pairs are verified once, and their ranks counted for each combination."""
     out = []
     for b in batches:
         for p in precisions:

@@ -9,6 +9,7 @@ from typing import Any
 from ..functions.envelope import RELATIONS
 from ..operators.progressive import ALGORITHMS, SCHEMES, WEIGHTS
 
+#: Names of the interface.
 THETAS = ("max", "min", "avg", "avg2", "none")
 GRIDS = ("KDBTREE", "QUADTREE")
 ENTITIES = ("SPATIAL_ENTITY", "SPATIOTEMPORAL_ENTITY", "PREPARED_ENTITY", "DECOMPOSED_ENTITY", "INDEXED_DECOMPOSED_ENTITY")
@@ -16,6 +17,12 @@ APPROXIMATIONS = ("FINEGRAINED_ENVELOPES", "MBR")
 FILE_TYPES = ("nt", "csv", "tsv", "shp", "geojson")
 
 
+def file_kind(path: str, file_type: str | None = None) -> str | None:
+    """The kind of a path's files by its extension; none for a directory."""
+    name = path.rstrip("/").rpartition("/")[2]
+    return (file_type or (name.rpartition(".")[2] if "." in name and not path.endswith("/") else "")).lower() or None
+
+
 @dataclass(frozen=True)
 class Dataset:
     path: str
@@ -23,10 +30,13 @@ class Dataset:
     geometry_field: str | None = None
     date_field: str | None = None
     date_pattern: str | None = None
+    file_type: str | None = None
 
     def problems(self) -> list[str]:
-        kind = self.path.rstrip("/").rpartition(".")[2].lower()
+        kind = file_kind(self.path, self.file_type)
         out = []
+        if kind is None:  # a directory: its files tell, when they are read
+            return out
         if kind not in FILE_TYPES:
             out.append(f"{self.path}: no reader for {kind!r}")
         if kind in ("csv", "tsv"):
@@ -113,7 +123,7 @@ def from_mapping(tree: dict[str, Any]) -> dict[str, Any]:
     for side in ("source", "target"):
         if d := tree.get(side):
             text = lambda k: None if d.get(k) is None else str(d[k])  # noqa: B023, E731
-            out[side] = Dataset(str(d["path"]), text("realIdField"), text("geometryField"), text("dateField"), text("datePattern"))
+            out[side] = Dataset(str(d["path"]), text("realIdField"), text("geometryField"), text("dateField"), text("datePattern"), text("fileType"))
     if tree.get("relation"):
         out["relation"] = tree["relation"]
     unknown = ()

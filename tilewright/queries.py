@@ -5,6 +5,8 @@ The fixtures hold boxes, points and axis-parallel segments on multiples of 0.25,
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,8 @@ def _with_wkb(df: DataFrame) -> DataFrame:
 
 
 def _links(spark, d):
-    s = parcels(spark, d)
-    return interlink.de9im(s, targets(spark, d), interlink.theta(s))
+    s, t = parcels(spark, d), targets(spark, d)
+    return interlink.de9im(s, t, interlink.grid(s, t))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -121,8 +123,8 @@ def de9im_pairs(spark, d):
 def _relation(name: str):
     @query(f"{PAIRS} SELECT source_id, target_id FROM pairs WHERE \"{'intersects' if name == 'DE9IM' else name}\"", f"relate_{name.lower()}")
     def run(spark, d):
-        s = parcels(spark, d)
-        return interlink.relate(s, targets(spark, d), name, interlink.theta(s))
+        s, t = parcels(spark, d), targets(spark, d)
+        return interlink.relate(s, t, name, interlink.grid(s, t))
 
 
 for _name in ("contains", "covers", "coveredby", "equals", "intersects", "overlaps", "touches", "within", "DE9IM"):
@@ -139,7 +141,8 @@ def theta_options(spark, d):
 @query(f"WITH points AS ({POINTS}), zones AS ({ZONES}) SELECT s.id AS source_id, t.id AS target_id, ({INNER}) AS within FROM points s, zones t WHERE {MEET}")
 def points_in_zones(spark, d):
     z = zones(spark, d)
-    pairs = interlink.candidates(points(spark, d), z, interlink.theta(z))
+    p = points(spark, d)
+    pairs = interlink.candidates(p, z, interlink.grid(z, p))
     s, t = F.col("s_env"), F.col("t_env")
     inner = (s["minx"] > t["minx"]) & (s["minx"] < t["maxx"]) & (s["miny"] > t["miny"]) & (s["miny"] < t["maxy"])
     return pairs.select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"), inner.alias("within"))
@@ -148,7 +151,8 @@ def points_in_zones(spark, d):
 @query(f"WITH points AS ({POINTS}), parcels AS ({PARCELS}) SELECT s.id AS source_id, t.id AS target_id FROM points s, parcels t WHERE {MEET} AND abs(date_diff('day', s.day, t.day)) < 2")
 def points_near_in_time(spark, d):
     p = dated_parcels(spark, d)
-    pairs = interlink.candidates(points(spark, d), p, interlink.theta(p), temporal=True)
+    q = points(spark, d)
+    pairs = interlink.candidates(q, p, interlink.grid(p, q), temporal=True)
     return pairs.select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"))
 
 
@@ -159,14 +163,15 @@ SEGMENTS = "SELECT id, x1, y1, CASE WHEN id % 2 = 0 THEN x1 + n ELSE x1 END AS x
 def segments_by_kernel(spark, d):
     """Lines against boxes, verified by the exact kernel."""
     z = zones(spark, d)
-    links = interlink.de9im(_with_wkb(segments(spark, d)), _with_wkb(z), interlink.theta(z))
+    s = segments(spark, d)
+    links = interlink.de9im(_with_wkb(s), _with_wkb(z), interlink.grid(z, s))
     return links.where("intersects").select("source_id", "target_id", "within", "crosses", "touches")
 
 
 @query(f"{WITH} SELECT s.id AS source_id, t.id AS target_id FROM parcels s, parcels t WHERE {MEET} AND s.id < t.id")
 def dirty_self_join(spark, d):
     s = parcels(spark, d)
-    return interlink.dirty_candidates(s, interlink.theta(s)).select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"))
+    return interlink.dirty_candidates(s, interlink.grid(s, s)).select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"))
 
 
 @query(f"{PAIRS} SELECT id FROM parcels WHERE id NOT IN (SELECT source_id FROM pairs)")
@@ -176,8 +181,8 @@ def unlinked_parcels(spark, d):
 
 @query(f"{PAIRS} SELECT target_id, list_sort(list(source_id)) AS source_ids, count(*) AS n FROM pairs GROUP BY target_id")
 def verifications_by_target(spark, d):
-    s = parcels(spark, d)
-    return interlink.verifications(interlink.candidates(s, targets(spark, d), interlink.theta(s)))
+    s, t = parcels(spark, d), targets(spark, d)
+    return interlink.verifications(interlink.candidates(s, t, interlink.grid(s, t)))
 
 
 _TILES = "(ceil({e}.x2 / 8) - floor({e}.x1 / 8) + 1) * (ceil({e}.y2 / 8) - floor({e}.y1 / 8) + 1)"
@@ -190,9 +195,14 @@ cells AS (SELECT *, cf / (sb + tb - cf) AS js, cf AS v00, tb - cf AS v01, sb - c
 EIGHT = E.Theta(8.0, 8.0)
 
 
+def _eights(s, t) -> interlink.Grid:
+    """Tiles of eight by eight, on the levels that the entities need."""
+    return replace(interlink.grid(s, t, "none", 8.0), theta=EIGHT)
+
+
 def _weighed(spark, d, **options):
-    s = parcels(spark, d)
-    pairs = interlink.candidates(s, targets(spark, d), EIGHT)
+    s, t = parcels(spark, d), targets(spark, d)
+    pairs = interlink.candidates(s, t, _eights(s, t))
     return progressive.weighted(pairs, EIGHT, progressive.total_blocks(s, EIGHT), **options)
 
 
@@ -201,8 +211,8 @@ _CHI = " + ".join(f"power({v} - ({r}) * ({c}) / n, 2) / (({r}) * ({c}) / n)" for
 
 @query(f"{WEIGHED} SELECT source_id, target_id, cf, round(js, 9) AS js, round(mbro, 9) AS mbro, 0.1 AS isp, round(CASE WHEN v00 + v01 > 0 AND v10 + v11 > 0 AND v00 + v10 > 0 AND v01 + v11 > 0 THEN {_CHI} ELSE 0 END, 6) AS pearson FROM (SELECT *, v00 + v01 + v10 + v11 AS n FROM cells)")
 def pair_weights(spark, d):
-    s = parcels(spark, d)
-    pairs = interlink.candidates(s, targets(spark, d), EIGHT)
+    s, t = parcels(spark, d), targets(spark, d)
+    pairs = interlink.candidates(s, t, _eights(s, t))
     n = progressive.total_blocks(s, EIGHT)
     w = {k.lower(): progressive.weight(k, EIGHT, n) for k in ("CF", "JS", "MBRO", "ISP")}
     out = {k: F.round(c, 9) if k in ("js", "mbro") else c for k, c in w.items()}
@@ -247,7 +257,7 @@ def _verified(spark, d, algorithm: str = "PROGRESSIVE_GIANT", budget: int = BUDG
     return interlink.verify(chosen).select("s_id", "t_id", "mw", "sw", "rank", F.col("im").rlike("^2").cast("int").alias("related"))
 
 
-@query()
+@query(f"{WEIGHED} SELECT s_id, t_id, rank FROM (SELECT source_id AS s_id, target_id AS t_id, row_number() OVER (ORDER BY md5('0:' || source_id || ':' || target_id) DESC, source_id, target_id) AS rank FROM cells) WHERE rank <= 300")
 def random_schedule(spark, d):
     return _verified(spark, d, "RANDOM").select("s_id", "t_id", "rank")
 
@@ -268,9 +278,12 @@ def schedule_quality(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "pgr")})
 
 
-@query()
+_RUN = "ranked AS (SELECT source_id AS s_id, target_id AS t_id, row_number() OVER (ORDER BY js DESC, source_id, target_id) AS rank, CAST(related AS INT) AS related FROM cells), run AS (SELECT *, (rank - 1) // 50 AS batch FROM ranked WHERE rank <= 300), sums AS (SELECT batch, sum(related) AS n FROM run GROUP BY batch), least AS (SELECT ceil(0.95 * n) AS n FROM sums WHERE batch = 0), bad AS (SELECT s.batch, s.n < l.n AS low FROM sums s, least l WHERE s.batch > 0), stops AS (SELECT min(a.batch) AS batch FROM bad a JOIN bad b ON b.batch = a.batch - 1 WHERE a.low AND b.low)"
+
+
+@query(f"{WEIGHED}, {_RUN} SELECT s_id, t_id, rank, related FROM run, stops WHERE run.batch <= coalesce(stops.batch, run.batch)")
 def early_stopping(spark, d):
-    return progressive.early_stopping(_verified(spark, d), batch=50, violations=3, precision=0.9).select("s_id", "t_id", "rank", "related")
+    return progressive.early_stopping(_verified(spark, d), batch=50, violations=2, precision=0.95).select("s_id", "t_id", "rank", "related")
 
 
 _BIG_ZONES = _sql_boxes("customer", "c_custkey", 6007, 15013, "(3 + c_nationkey % 29) * CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END", "(3 + (c_nationkey * 5) % 19) * CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END")
@@ -279,7 +292,8 @@ _BIG_ZONES = _sql_boxes("customer", "c_custkey", 6007, 15013, "(3 + c_nationkey
 @query(f"WITH parcels AS ({PARCELS}), zones AS ({_BIG_ZONES}), costs AS (SELECT t.id AS t_id, 5 * count(*) AS cost FROM parcels s, zones t WHERE {MEET} GROUP BY t.id), z AS (SELECT avg(cost) AS m, stddev_pop(cost) AS sd FROM costs) SELECT t_id, cost FROM costs, z WHERE (cost - m) / sd > 3")
 def skewed_targets(spark, d):
     s = parcels(spark, d)
-    pairs = interlink.candidates(s, zones(spark, d, "CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END"), interlink.theta(s))
+    z = zones(spark, d, "CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END")
+    pairs = interlink.candidates(s, z, interlink.grid(s, z))
     _, skewed = balance.split_skewed(pairs)
     return balance.costs(skewed)
 
@@ -295,15 +309,19 @@ def rdf_triples(spark, d):
     return readers.triples(_links(spark, d))
 
 
-@query()
+@query(f"WITH zones AS ({ZONES}) SELECT id, CAST((ceil(x2 / 8) - floor(x1 / 8)) * (ceil(y2 / 8) - floor(y1 / 8)) AS INTEGER) AS n_segments FROM zones")
 def decomposed_segments(spark, d):
-    """Zones cut on the grid, each part with its envelope's size."""
+    """Zones cut on the grid."""
     z = _with_wkb(zones(spark, d))
     return decompose.with_segments(z, EIGHT).select("id", F.size("segments").alias("n_segments"))
 
 
-@query(f"{PAIRS} SELECT target_id AS t_id, count(*) AS pairs FROM pairs GROUP BY 1")
+@query(f"{PAIRS}, cut AS (SELECT p.target_id AS t_id, p.source_id AS s_id, floor(greatest(s.x1, t.x1) / 8) = floor(least(s.x2, t.x2) / 8) AS narrow FROM pairs p JOIN parcels s ON s.id = p.source_id JOIN targets t ON t.id = p.target_id) SELECT t_id, narrow, count(*) AS pairs FROM cut GROUP BY ALL")
 def balanced_batches(spark, d):
-    s = parcels(spark, d)
-    pairs = interlink.candidates(s, targets(spark, d), interlink.theta(s)).withColumn("segments", F.array(F.lit(0)))
-    return balance.segment_batches(balance.redistribute(pairs, 8)).groupBy("t_id").agg(F.sum(F.size("s_ids")).alias("pairs"))
+    """Sources by the columns of tiles that they share with a target, in batches."""
+    s, t = parcels(spark, d), targets(spark, d)
+    both = E.common(F.col("s_env"), F.col("t_env"))
+    shared = F.sequence(F.floor(both["minx"] / 8), F.floor(both["maxx"] / 8))
+    pairs = interlink.candidates(s, t, interlink.grid(s, t)).withColumn("segments", shared)
+    batches = balance.segment_batches(balance.redistribute(pairs, 8), batch=2)
+    return batches.groupBy("t_id", (F.size("segment_set") == 1).alias("narrow")).agg(F.sum(F.size("s_ids")).alias("pairs"))

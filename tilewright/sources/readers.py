@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
+from ..plans.config import file_kind
 
 #: Fixed value: the predicate of geometries in N-Triples when none is given.
 GEOMETRY_PREDICATE = "<http://strdf.di.uoa.gr/ontology#hasGeometry>"
@@ -104,9 +106,22 @@ def read_shapefile(spark: SparkSession, path: str, id_field: str) -> DataFrame:
     return entities(both.select(F.explode(rows("shp", "dbf")).alias("r")).select("r.id", "r.wkt"))
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the regular files of a directory, hidden ones left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(place)
+    return [n for s in listed if s.isFile() and not (n := s.getPath().getName()).startswith(("_", "."))]
+
+
 def read_dataset(spark: SparkSession, path: str, id_field: str, geometry_field: str, date_field: str | None = None, date_pattern: str | None = None, file_type: str | None = None) -> DataFrame:
-    """A dataset by its files' extension; a directory or a glob stands for all its files."""
-    kind = (file_type or path.rstrip("/").rpartition(".")[2]).lower()
+    """A dataset by its files' extension or `file_type`; a directory stands for all its files, a glob for those it matches."""
+    kind = file_kind(path, file_type)
+    if kind is None:  # a directory: all its files, each by its own kind
+        kinds = sorted({file_kind(f) or "" for f in files_of(spark, path)} - {"dbf", "shx", "prj", "cpg"})
+        parts = [read_dataset(spark, f"{path.rstrip('/')}/*.{k}", id_field, geometry_field, date_field, date_pattern, k) for k in kinds if k]
+        if not parts:
+            raise ValueError(f"{path}: no file with a known extension")
+        return reduce(DataFrame.unionByName, parts)
     if kind in ("csv", "tsv"):
         at = int(date_field) if date_field else None
         return read_delimited(spark, path, int(id_field), int(geometry_field), "," if kind == "csv" else "\t", date_at=at, date_pattern=date_pattern)
