@@ -523,6 +523,18 @@ def test_packing_cuts_are_optimal():
         assert math.isclose(price(packing.best_cuts(ends, costs, window)), best[int(ends[-1])][0])
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    got, sql = queries.QUERIES[name](spark, data), con.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(sql.columns)
+    assert sorted(map(tuple, got.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
 def groups_of(x, ids, cosine=0.95):
     """The smallest id reachable by links, by brute force."""
     near, label = x @ x.T >= cosine, np.array(ids)

@@ -59,5 +59,34 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op4_language_id, op5_pii, op6_html_extraction, op7_decontamination, op8_url_filter, op9_packing, op10_embedding_dedup)}
 
-#: None of these is SQL as a whole: brute force, round trips and held-out accuracy test them in tests/llm.
-ORACLES: dict[str, str] = {}
+#: All pairs by their common words or components, and the closure of their links: for tables of a few thousand rows.
+_CLOSURE = """
+reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+#: The operators that SQL can express; the others are tested by brute force, round trips and held-out accuracy in tests/llm.
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 800)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS pos FROM docs WHERE n >= 400)),
+often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+starts AS (SELECT doc_id, pos, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 400 OR lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS fresh FROM windows JOIN often USING (w)),
+runs AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 400 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM starts) GROUP BY doc_id, run),
+bounds AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM runs),
+pieces AS (SELECT b.doc_id, CASE WHEN k = 1 THEN substr(h, 1, 2 * a) ELSE '' END || substr(h, 2 * z + 1, 2 * (coalesce(next, n) - z)) AS piece, a, z FROM bounds b JOIN docs USING (doc_id)),
+cut AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY a) AS rest FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM docs d LEFT JOIN cut USING (doc_id)""",
+    "op3_ngram_jaccard_join": f"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id AS id, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+nodes AS (SELECT doc_id AS id FROM documents),{_CLOSURE}
+SELECT c.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM components c LEFT JOIN sizes USING (id)""",
+    "op10_embedding_dedup": f"""
+WITH RECURSIVE vectors AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+nodes AS (SELECT id FROM vectors),{_CLOSURE}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM components""",
+}
