@@ -278,12 +278,12 @@ def schedule_quality(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "pgr")})
 
 
-_RUN = "ranked AS (SELECT source_id AS s_id, target_id AS t_id, row_number() OVER (ORDER BY js DESC, source_id, target_id) AS rank, CAST(related AS INT) AS related FROM cells), run AS (SELECT *, (rank - 1) // 50 AS batch FROM ranked WHERE rank <= 300), sums AS (SELECT batch, sum(related) AS n FROM run GROUP BY batch), least AS (SELECT ceil(0.95 * n) AS n FROM sums WHERE batch = 0), bad AS (SELECT s.batch, s.n < l.n AS low FROM sums s, least l WHERE s.batch > 0), stops AS (SELECT min(a.batch) AS batch FROM bad a JOIN bad b ON b.batch = a.batch - 1 WHERE a.low AND b.low)"
+_RUN = "ranked AS (SELECT source_id AS s_id, target_id AS t_id, row_number() OVER (ORDER BY js DESC, source_id, target_id) AS rank, CAST(related AS INT) AS related FROM cells), run AS (SELECT *, (rank - 1) // 50 AS batch FROM ranked WHERE rank <= 300), sums AS (SELECT batch, sum(related) AS n FROM run GROUP BY batch), least AS (SELECT n AS n FROM sums WHERE batch = 0), bad AS (SELECT s.batch, s.n < l.n AS low FROM sums s, least l WHERE s.batch > 0), stops AS (SELECT min(a.batch) AS batch FROM bad a JOIN bad b ON b.batch = a.batch - 1 WHERE a.low AND b.low)"
 
 
 @query(f"{WEIGHED}, {_RUN} SELECT s_id, t_id, rank, related FROM run, stops WHERE run.batch <= coalesce(stops.batch, run.batch)")
 def early_stopping(spark, d):
-    return progressive.early_stopping(_verified(spark, d), batch=50, violations=2, precision=0.95).select("s_id", "t_id", "rank", "related")
+    return progressive.early_stopping(_verified(spark, d), batch=50, violations=2, precision=1.0).select("s_id", "t_id", "rank", "related")
 
 
 _BIG_ZONES = _sql_boxes("customer", "c_custkey", 6007, 15013, "(3 + c_nationkey % 29) * CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END", "(3 + (c_nationkey * 5) % 19) * CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END")

@@ -431,7 +431,7 @@ def early_stop_quality(spark, d):
     """The evaluation of a run that stops early, verified batch after batch."""
     chosen = progressive.schedule(_weighed(spark, d, secondary="MBRO"), "PROGRESSIVE_GIANT", BUDGET)
     judge = lambda pairs: interlink.verify(pairs).select("rank", F.col("im").rlike("^2").cast("int").alias("related"))
-    run = progressive.stop_early(chosen, judge, batch=50, violations=2, precision=0.95)
+    run = progressive.stop_early(chosen, judge, batch=50, violations=2, precision=1.0)
     s, t = parcels(spark, d), targets(spark, d)
     total = interlink.de9im(s, t, interlink.grid(s, t)).where("im like '2%'").count()
     out = progressive.evaluate_run(run, "EARLY_STOPPING", [BUDGET], total)
