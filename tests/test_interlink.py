@@ -161,6 +161,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "c.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"k":"7"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,0]]]}},{"type":"Feature","properties":{"k":"8"},"geometry":{"type":"Point","coordinates":[1,1]}}]}')
     got = {r.id: (r.dim, r.npoints) for r in readers.read_dataset(spark, str(tmp_path / "c.geojson"), "k", "").collect()}
     assert got == {"7": (2, 4), "8": (0, 1)}
+    one = lambda k: f'{{"type":"Feature","properties":{{"k":"{k}"}},"geometry":{{"type":"Point","coordinates":[{k},1]}}}}'
+    (tmp_path / "d.geojson").write_text('{"type":"FeatureCollection",\n"features":[\n' + ",\n".join(map(one, range(5))) + "\n]}")
+    (tmp_path / "e.geojson").write_text('{"type":"FeatureCollection","features":[' + one(1).replace(",", ",\n") + "]}")
+    (tmp_path / "f.geojson").write_text("\n".join(map(one, range(3))) + "\n\n")
+    for name, n in (("d", 5), ("e", 1), ("f", 3)):
+        assert [r.id for r in readers.read_dataset(spark, str(tmp_path / f"{name}.geojson"), "k", "").orderBy("id").collect()] == [str(k) for k in ([1] if n == 1 else range(n))]
 
 
 def test_config(tmp_path):

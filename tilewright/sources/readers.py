@@ -76,13 +76,21 @@ def _geojson_wkt(g: Column) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str, id_field: str, date_field: str | None = None, date_pattern: str | None = None) -> DataFrame:
-    """Features of GeoJSON files, a collection each or one feature a line."""
-    schema = "struct<features:array<string>,geometry:string,properties:map<string,string>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"), "value")
-    many = raw.where("j.features is not null").select(F.explode("j.features").alias("f"))
-    lines = raw.where("j.features is null").select(F.explode(F.split("value", r"\r?\n")).alias("f")).where("f != ''")
+    """Features of GeoJSON files: one feature a line, alone or as a line of a collection, or whole collections.
+
+    Lines are read apart, so a large file is split. Only where some feature goes over several lines is each file one text.
+    """
+    schema = "struct<type:string,features:array<string>,geometry:string>"
+    line = F.regexp_replace(F.trim("value"), r",$", "")
+    lines = spark.read.text(path).select(line.alias("value"), F.from_json(line, schema).alias("j"))
+    whole = (F.col("j.type") == "Feature") & F.col("j.geometry").isNotNull() | F.col("j.features").isNotNull()
+    if not lines.where(F.contains("value", F.lit('"coordinates"')) & ~F.coalesce(whole, F.lit(False))).isEmpty():
+        lines = spark.read.text(path, wholetext=True).select("value", F.from_json("value", schema).alias("j"))
+    many = lines.where("j.features is not null").select(F.explode("j.features").alias("f"))
+    single = lines.where("j.type = 'Feature' and j.features is null").select(F.col("value").alias("f"))
+    many = many.unionByName(single)
     feature = F.from_json("f", "struct<id:string,geometry:string,properties:map<string,string>>")
-    rows = many.unionByName(lines).select(feature.alias("f"))
+    rows = many.select(feature.alias("f"))
     own = F.coalesce(F.col("f.properties")[id_field], F.when(F.lit(id_field) == "id", F.col("f.id")))
     date = F.col("f.properties")[date_field] if date_field else F.lit(None).cast("string")
     return entities(rows.select(own.alias("id"), _geojson_wkt(F.col("f.geometry")).alias("wkt"), date.alias("date")), date_pattern)
