@@ -64,6 +64,22 @@ _CLOSURE = """
 reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
 components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
+#: Kinds in their order, with patterns as plain SQL has them; the borders of an IBAN are word borders here.
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"), ("iban", r"\b[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}\b"),
+)
+_OF_KIND = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM docs" for k, (kind, pattern) in enumerate(_PII))
+_DIGIT = "CAST(substr(d, length(d) - {i}, 1) AS INTEGER)"
+_LUHN = " + ".join(f"CASE WHEN length(d) > {i} THEN {_DIGIT.format(i=i) if i % 2 == 0 else f'(CASE WHEN {_DIGIT.format(i=i)} > 4 THEN 2 * {_DIGIT.format(i=i)} - 9 ELSE 2 * {_DIGIT.format(i=i)} END)'} ELSE 0 END" for i in range(19))
+_LETTERS = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
+for _k in range(26):
+    _LETTERS = f"replace({_LETTERS}, '{chr(65 + _k)}', '{10 + _k}')"
+_REST = "0"  # the number in pieces of 15 digits, each after the rest of those before
+for _k in range(5):
+    _REST = f"CAST(({_REST})::VARCHAR || substr(l, {15 * _k + 1}, 15) AS HUGEINT) % 97"
+_PART = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+
 #: The operators that SQL can express; the others are tested by brute force, round trips and held-out accuracy in tests/llm.
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": """
@@ -84,6 +100,13 @@ shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shing
 links AS (SELECT a, b FROM shared s JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
 nodes AS (SELECT doc_id AS id FROM documents),{_CLOSURE}
 SELECT c.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM components c LEFT JOIN sizes USING (id)""",
+    "op5_pii": f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_OF_KIND}),
+each AS (SELECT doc_id, k, kind, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gaps[1 : len(ms)]) AS gap FROM found WHERE len(ms) > 0),
+placed AS (SELECT *, CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS a, regexp_replace(m, '[^0-9]', '', 'g') AS d, CASE WHEN kind = 'iban' THEN {_LETTERS} ELSE '' END AS l FROM each WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+good AS (SELECT doc_id, k, kind, a, kind || ':' || a || ':' || (a + length(m)) AS span FROM placed WHERE CASE kind WHEN 'ip' THEN regexp_full_match(m, '({_PART}\\.){{3}}{_PART}') WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND ({_LUHN}) % 10 = 0 WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 WHEN 'iban' THEN {_REST} = 1 ELSE true END)
+SELECT d.doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, _ in _PII[:4])}, sha256(coalesce(string_agg(span, ',' ORDER BY k, a) FILTER (WHERE k < 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, a), '') AS spans FROM docs d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op10_embedding_dedup": f"""
 WITH RECURSIVE vectors AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 links AS (SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
