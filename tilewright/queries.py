@@ -262,10 +262,17 @@ def random_schedule(spark, d):
     return _verified(spark, d, "RANDOM").select("s_id", "t_id", "rank")
 
 
-@query()
+_BEST = "PARTITION BY step, pid ORDER BY mw * (1 + m) DESC, sw * (1 + m) DESC, s_id, t_id"
+_HEAP = f"""base AS (SELECT source_id AS s_id, target_id AS t_id, js AS mw, mbro AS sw, CAST(related AS INT) AS related, target_id % 4 AS pid FROM (SELECT *, row_number() OVER (ORDER BY js DESC, source_id, target_id) AS r FROM cells) WHERE r <= 300),
+run AS (SELECT 0 AS step, base.*, 0 AS m FROM base UNION ALL
+  SELECT step + 1, s_id, t_id, mw, sw, related, pid, m + CASE WHEN best.q = 1 AND (s_id = best.s OR t_id = best.t) THEN 1 ELSE 0 END FROM (SELECT *, first_value({{'s': s_id, 't': t_id, 'q': related}}) OVER ({_BEST}) AS best FROM run) WHERE NOT (s_id = best.s AND t_id = best.t))"""
+
+
+@query(f"{WEIGHED.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_HEAP} SELECT s_id, t_id, pid, related, step + 1 AS rank FROM (SELECT *, row_number() OVER ({_BEST}) AS k FROM run) WHERE k = 1")
 def dynamic_schedule(spark, d):
-    ready = _verified(spark, d).withColumn("pid", F.pmod(F.xxhash64("t_id"), F.lit(4))).drop("rank")
-    return progressive.dynamic(ready, ["pid"])
+    """Related pairs boost those of their entities, in four groups of targets."""
+    ready = _verified(spark, d).withColumn("pid", F.pmod("t_id", F.lit(4))).drop("rank")
+    return progressive.dynamic(ready, ["pid"]).select("s_id", "t_id", "pid", "related", "rank")
 
 
 _STEPS = "ranked AS (SELECT *, row_number() OVER (ORDER BY js DESC, source_id, target_id) AS r FROM cells), run AS (SELECT r, CAST(related AS INT) AS q, sum(CAST(related AS INT)) OVER (ORDER BY r) AS found FROM ranked WHERE r <= 300)"
@@ -278,12 +285,12 @@ def schedule_quality(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "pgr")})
 
 
-_RUN = "ranked AS (SELECT source_id AS s_id, target_id AS t_id, row_number() OVER (ORDER BY js DESC, source_id, target_id) AS rank, CAST(related AS INT) AS related FROM cells), run AS (SELECT *, (rank - 1) // 50 AS batch FROM ranked WHERE rank <= 300), sums AS (SELECT batch, sum(related) AS n FROM run GROUP BY batch), least AS (SELECT n AS n FROM sums WHERE batch = 0), bad AS (SELECT s.batch, s.n < l.n AS low FROM sums s, least l WHERE s.batch > 0), stops AS (SELECT min(a.batch) AS batch FROM bad a JOIN bad b ON b.batch = a.batch - 1 WHERE a.low AND b.low)"
+_RUN = "ranked AS (SELECT source_id AS s_id, target_id AS t_id, row_number() OVER (ORDER BY js DESC, source_id, target_id) AS rank, CAST(related AS INT) AS related FROM cells), run AS (SELECT *, (rank - 1) // 100 AS batch FROM ranked WHERE rank <= 1800), sums AS (SELECT batch, sum(related) AS n FROM run GROUP BY batch), least AS (SELECT n AS n FROM sums WHERE batch = 0), bad AS (SELECT s.batch, s.n < l.n AS low FROM sums s, least l WHERE s.batch > 0), stops AS (SELECT min(a.batch) AS batch FROM bad a JOIN bad b ON b.batch = a.batch - 1 WHERE a.low AND b.low)"
 
 
 @query(f"{WEIGHED}, {_RUN} SELECT s_id, t_id, rank, related FROM run, stops WHERE run.batch <= coalesce(stops.batch, run.batch)")
 def early_stopping(spark, d):
-    return progressive.early_stopping(_verified(spark, d), batch=50, violations=2, precision=1.0).select("s_id", "t_id", "rank", "related")
+    return progressive.early_stopping(_verified(spark, d, budget=1800), batch=100, violations=2, precision=1.0).select("s_id", "t_id", "rank", "related")
 
 
 _BIG_ZONES = _sql_boxes("customer", "c_custkey", 6007, 15013, "(3 + c_nationkey % 29) * CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END", "(3 + (c_nationkey * 5) % 19) * CASE WHEN c_custkey % 97 = 0 THEN 20 ELSE 1 END")

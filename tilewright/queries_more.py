@@ -9,7 +9,7 @@ from .functions import envelope as E
 from .functions import matrix as M
 from .operators import balance, decompose, generator, interlink, progressive
 from .plans.scratch import place
-from .queries import BUDGET, EIGHT, HAS, IN, INNER, MEET, PAIRS, PARCELS, POINTS, SEGMENTS, SQL_RELATION, WEIGHED, WITH, ZONES, _boxes, _eights, _RUN, _sql_boxes, _table, _verified, _weighed, _with_wkb, parcels, points, query, segments, targets, zones
+from .queries import EIGHT, HAS, IN, INNER, MEET, PAIRS, PARCELS, POINTS, SEGMENTS, SQL_RELATION, WEIGHED, WITH, ZONES, _boxes, _eights, _RUN, _sql_boxes, _table, _verified, _weighed, _with_wkb, parcels, points, query, segments, targets, zones
 from .sources import readers, shapefile
 
 
@@ -429,12 +429,12 @@ def weights_compat(spark, d):
 @query(f"{WEIGHED}, {_RUN}, kept AS (SELECT run.* FROM run, stops WHERE run.batch <= coalesce(stops.batch, run.batch)), total AS (SELECT count(*) FILTER (WHERE related) AS q FROM cells) SELECT count(*) AS budget, count(*) AS verified, CAST(sum(related) AS BIGINT) AS qualifying, round(sum(related) / least(any_value(q), count(*)), 9) AS recall, round(sum(related) / count(*), 9) AS precision, round(sum(related * (n.n - rank + 1)) / (least(any_value(q), count(*)) * count(*)), 9) AS pgr FROM kept, total, (SELECT count(*) AS n FROM kept) n")
 def early_stop_quality(spark, d):
     """The evaluation of a run that stops early, verified batch after batch."""
-    chosen = progressive.schedule(_weighed(spark, d, secondary="MBRO"), "PROGRESSIVE_GIANT", BUDGET)
+    chosen = progressive.schedule(_weighed(spark, d, secondary="MBRO"), "PROGRESSIVE_GIANT", 1800)
     judge = lambda pairs: interlink.verify(pairs).select("rank", F.col("im").rlike("^2").cast("int").alias("related"))
-    run = progressive.stop_early(chosen, judge, batch=50, violations=2, precision=1.0)
+    run = progressive.stop_early(chosen, judge, batch=100, violations=2, precision=1.0)
     s, t = parcels(spark, d), targets(spark, d)
     total = interlink.de9im(s, t, interlink.grid(s, t)).where("im like '2%'").count()
-    out = progressive.evaluate_run(run, "EARLY_STOPPING", [BUDGET], total)
+    out = progressive.evaluate_run(run, "EARLY_STOPPING", [1800], total)
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "pgr")})
 
 
@@ -444,8 +444,8 @@ def optimal_schedules(spark, d):
     return spark.createDataFrame(rows, "budget bigint, total bigint, precision double, pgr double").withColumns({c: F.round(c, 9) for c in ("precision", "pgr")})
 
 
-@query(f"{WEIGHED}, ranked AS (SELECT row_number() OVER (ORDER BY js DESC, source_id, target_id) AS rank, CAST(related AS INT) AS related FROM cells), sums AS (SELECT (rank - 1) // 50 AS batch, sum(related) AS n, count(*) AS c FROM ranked WHERE rank <= 300 GROUP BY 1), settings AS (SELECT * FROM (VALUES (0.9), (1.0)) p(p), (VALUES (1), (6)) v(v)), least AS (SELECT n FROM sums WHERE batch = 0), stops AS (SELECT p, v, min(batch) FILTER (WHERE s.n < ceil(p * l.n) AND batch > 0 AND v = 1) AS stop FROM settings, sums s, least l GROUP BY p, v) SELECT CAST(p AS DOUBLE) AS precision_limit, CAST(v AS BIGINT) AS violations, CAST(sum(c) AS BIGINT) AS verified, CAST(sum(n) AS BIGINT) AS qualifying FROM stops, sums WHERE batch <= coalesce(stop, batch) GROUP BY p, v")
+@query(f"{WEIGHED}, ranked AS (SELECT row_number() OVER (ORDER BY js DESC, source_id, target_id) AS rank, CAST(related AS INT) AS related FROM cells), sums AS (SELECT (rank - 1) // 100 AS batch, sum(related) AS n, count(*) AS c FROM ranked WHERE rank <= 1800 GROUP BY 1), settings AS (SELECT * FROM (VALUES (0.9), (1.0)) p(p), (VALUES (1), (50)) v(v)), least AS (SELECT n FROM sums WHERE batch = 0), stops AS (SELECT p, v, min(batch) FILTER (WHERE s.n < ceil(p * l.n) AND batch > 0 AND v = 1) AS stop FROM settings, sums s, least l GROUP BY p, v) SELECT CAST(p AS DOUBLE) AS precision_limit, CAST(v AS BIGINT) AS violations, CAST(sum(c) AS BIGINT) AS verified, CAST(sum(n) AS BIGINT) AS qualifying FROM stops, sums WHERE batch <= coalesce(stop, batch) GROUP BY p, v")
 def grid_of_stops(spark, d):
-    """Early stopping under several settings; six violations in a row never happen in six batches."""
-    rows = progressive.grid_search(_verified(spark, d), [50], [0.9, 1.0], [1, 6])
+    """Early stopping under several settings; fifty violations in a row never happen in eighteen batches."""
+    rows = progressive.grid_search(_verified(spark, d, budget=1800), [100], [0.9, 1.0], [1, 50])
     return spark.createDataFrame([(r["precision_limit"], r["violations"], r["verified"], r["qualifying"]) for r in rows], "precision_limit double, violations bigint, verified bigint, qualifying bigint")
