@@ -263,8 +263,9 @@ def trained(pages: int = 300, seed: int = 7) -> Chain:
     for _ in range(pages):
         source, labels = labelled_page(rng)
         blocks = leaf_blocks(source)
-        if len(blocks) == len(labels):
-            data.append((describe(blocks), np.array(labels)))
+        if len(blocks) != len(labels):
+            raise ValueError(f"{len(labels)} labels for {len(blocks)} blocks: {source}")
+        data.append((describe(blocks), np.array(labels)))
     return Chain().fit(data)
 
 
