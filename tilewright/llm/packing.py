@@ -93,8 +93,15 @@ def best_cuts(ends: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
     cost = [0.0, *costs.tolist()]
     n = len(at)
     best, back = [0.0] * n, [0] * n
-    place = {p: i for i, p in enumerate(at)}
-    free = [1 << k for k in range(window.bit_length()) if 1 << k < window]
+    free = {1 << k for k in range(window.bit_length()) if 1 << k < window}
+    # The transitions of those lengths: few ends lie so far apart, so all of them are found at once.
+    spots = np.array(at)
+    near = [np.searchsorted(spots, spots - w) for w in sorted(free)]
+    there = [spots[k] == spots - w for k, w in zip(near, sorted(free), strict=True)]
+    to = np.concatenate([np.flatnonzero(h) for h in there])
+    order = np.argsort(to, kind="stable")
+    since = np.concatenate([k[h] for k, h in zip(near, there, strict=True)])[order].tolist()
+    first = np.searchsorted(to[order], np.arange(n + 1)).tolist()
     queue: deque[int] = deque([0])
     keys = [0.0] * n
     for j in range(1, n):
@@ -105,9 +112,8 @@ def best_cuts(ends: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
         value = keys[i] + window - p
         if p - at[i] in free:  # kept exact by the transitions below
             value = best[i]
-        for w in free:
-            k = place.get(p - w)
-            if k is not None and best[k] <= value:
+        for k in since[first[j] : first[j + 1]]:
+            if best[k] <= value:
                 value, i = best[k], k
         best[j], back[j] = value + cost[j], i
         keys[j] = best[j] + p
