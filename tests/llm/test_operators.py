@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilewright.llm import decontaminate, embedding_dedup, html_text, language, packing, pii, quality, queries, repeats, shingle_join, urls
+from tilewright.llm import common, decontaminate, embedding_dedup, html_text, language, packing, pii, quality, queries, repeats, shingle_join, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -35,6 +35,14 @@ def odd(spark):
     return df.withColumn("key", F.lit("x")).cache()
 
 
+@pytest.mark.parametrize("most", [1, 4, 300, 5000])
+def test_first_by_hash(spark, most):
+    rows = spark.range(4000).withColumnRenamed("id", "k")
+    expected = [r.k for r in rows.orderBy(F.xxhash64("k"), "k").limit(most).collect()]
+    assert [r.k for r in common.first_by_hash(rows, 4000, most, "k").collect()] == expected
+    assert common.first_by_hash(rows.limit(0), 0, most, "k").count() == 0
+
+
 @pytest.mark.parametrize("most", [1, 3, 4096])
 def test_repeats(spark, data, most):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id < 150")

@@ -68,8 +68,20 @@ def quoted(df: DataFrame) -> str:
 
 
 def row_key(*columns: str):
-    """A key of one row's content: repeated rows share it, different texts under one id don't."""
-    return F.xxhash64(*columns)
+    """A key of one row's content, in 128 bits: repeated rows share it, different texts under one id don't."""
+    return F.struct(F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *reversed(columns)).alias("k2"))
+
+
+def first_by_hash(rows: DataFrame, count: int, most: int, column: str) -> DataFrame:
+    """The first `most` of `count` rows with different values of `column`, by its hash.
+
+    Of a large table only rows with a low hash are ordered, about twice as many as are wanted, so that no task sends
+    `most` rows of its own.
+    """
+    place = F.xxhash64(column)
+    share = (2 * most + 100) / max(count, 1)
+    near = rows.where(place < int(share * 2**64) - 2**63) if share < 1 else rows
+    return near.orderBy(place, column).limit(most)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
