@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, quoted, slices, written
+from .common import first_by_hash, prepare, quoted, slices, written
 from .urls import BoostedTrees
 from .words import count_distinct, split_words
 
@@ -67,7 +67,8 @@ def logit(p: Column) -> Column:
 
 def fit_style(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> BoostedTrees:
     """A classifier of `style` from labelled documents; the first `most_labelled` labels by a hash of their id."""
-    chosen = F.broadcast(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled))
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
+    chosen = F.broadcast(first_by_hash(known, known.count(), most_labelled, "doc_id"))
     rows = with_style(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y")).select("y", "__style").collect()
     x = np.array([r["__style"] for r in rows], float).reshape(len(rows), len(STYLE))
     return BoostedTrees(rounds=40).fit(list(STYLE), x, np.array([r["y"] for r in rows], float))
