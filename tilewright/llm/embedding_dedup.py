@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, written
+from .common import components, first_by_hash, prepare, written
 
 LEAST_CHUNK = 256
 #: Rows of a cell's chunk, and rows of a slice of it that meet the other side at once.
@@ -141,7 +141,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, prefix: int = 6, s
     for dim, count in sorted((r["dim"], r["count"]) for r in classes.groupBy(F.size("embedding").alias("dim")).count().collect()):
         of_dim = classes.where(F.size("embedding") == dim)
         size = int(min(most_pivots, max(4, 2 * count**0.5)))
-        chosen = of_dim.orderBy(F.xxhash64("rep"), "rep").limit(size).select("embedding").collect()
+        chosen = first_by_hash(of_dim, count, size, "rep").select("embedding").collect()
         found = _links(of_dim, unit(np.array([r["embedding"] for r in chosen])), count, cosine, prefix, share)
         answers = found if answers is None else answers.unionByName(found)
     if answers is None:
