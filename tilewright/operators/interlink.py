@@ -84,6 +84,8 @@ def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation
     few tiles a level; an equi-join on (lane, level, tile) at the larger of both levels meets each pair in one tile or more,
     and the pair answers only in that of the low corner of their intersection. The levels are those of a `Grid`; for a
     bare tile size a pass over the sides finds them, over the source alone if the target is a stream.
+    Both sides are shuffled: Spark judges a side by its files' size, which says nothing of its rows for each tile, and
+    would send millions of them through the driver.
     `temporal`: entities must lie less than two days apart (`ts`); `fine`: some of their parts (`envs`) must meet.
     """
     if relation == "disjoint":
@@ -106,7 +108,7 @@ def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation
         test = test & E.near_days(F.col("s_ts"), F.col("t_ts"))
     if fine:
         test = test & E.fine_intersects(a, b, F.col("s_envs"), F.col("t_envs"))
-    pairs = s.join(u, met & once & test)
+    pairs = s.hint("merge").join(u, met & once & test)
     return pairs.drop(*[f"{p}{c}" for p in "st" for c in ("_level", "_grid", "_lane", "_tx", "_ty")])
 
 

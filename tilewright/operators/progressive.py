@@ -17,6 +17,9 @@ WEIGHTS = ("CF", "JS", "PEARSON_X2", "MBRO", "ISP")
 SCHEMES = ("SIMPLE", "COMPOSITE", "HYBRID", "THIN_MULTI_COMPOSITE")
 ALGORITHMS = ("PROGRESSIVE_GIANT", "DYNAMIC_PROGRESSIVE_GIANT", "GEOMETRY_CENTRIC", "TOPK", "RECIPROCAL_TOPK", "RANDOM", "EARLY_STOPPING")
 
+#: Up to so many pairs are taken from the best ones of each task, without a sort of all pairs.
+TAKEN = 1 << 16
+
 
 def total_blocks(source: DataFrame, t: E.Theta) -> float:
     """Tiles of the extent of `source`, per axis one more than the extent's width in tiles."""
@@ -84,9 +87,12 @@ def placed(pairs: DataFrame, order: list[Column], budget: int) -> DataFrame:
     """The first `budget` pairs in an order, with their place in `rank` (1 is first).
 
     Range-partitioned and sorted, counted for each partition, and offset by the counts: no task holds all of them.
+    For a budget of up to TAKEN each task keeps its best ones alone, so that the others are never sorted or written.
     """
     spot = F.monotonically_increasing_id()
-    sorted_ = written(pairs.orderBy(*order).withColumn("spot", spot), "sorted")
+    first = pairs.orderBy(*order)
+    first = first.limit(budget) if budget <= TAKEN else first
+    sorted_ = written(first.withColumn("spot", spot), "sorted")
     part = F.shiftright("spot", 33)
     offsets, before = [], 0
     for r in sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
@@ -113,13 +119,29 @@ def schedule(pairs: DataFrame, algorithm: str, budget: int, sources: int = 0, ta
             k_s = k_t = (budget // max(1, sources + targets) + 1) * 2
         else:
             k_s, k_t = (budget // max(1, sources) + 1) * 2, (budget // max(1, targets) + 1) * 2
-        of = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(*best_first()))
-        pairs = pairs.withColumns({"of_s": of("s_id"), "of_t": of("t_id")})
-        near = (F.col("of_s") <= k_s) & (F.col("of_t") <= k_t) if algorithm == "RECIPROCAL_TOPK" else (F.col("of_s") <= k_s) | (F.col("of_t") <= k_t)
-        pairs = pairs.where(near).drop("of_s", "of_t")
+        pairs = _nearest(pairs, k_s, k_t, algorithm == "RECIPROCAL_TOPK", budget)
     return placed(pairs, best_first(), budget)
 
 
+def _nearest(pairs: DataFrame, k_s: int, k_t: int, both: bool, budget: int) -> DataFrame:
+    """Pairs among the `k_s` best of their source or (`both`: and) the `k_t` best of their target, at least the first `budget` of them.
+
+    All orders are the same, so among the best n pairs of all, each has the places that it has among all pairs of its
+    source and its target. If `budget` of the best few qualify, no others are needed; else all pairs are ranked.
+    """
+    def near(some: DataFrame) -> DataFrame:
+        of = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(*best_first()))
+        placed_ = some.withColumns({"of_s": of("s_id"), "of_t": of("t_id")})
+        by_s, by_t = F.col("of_s") <= k_s, F.col("of_t") <= k_t
+        return placed_.where(by_s & by_t if both else by_s | by_t).drop("of_s", "of_t")
+
+    if 4 * budget <= TAKEN:
+        some = written(pairs.orderBy(*best_first()).limit(TAKEN), "best")
+        if some.count() < TAKEN or near(some).count() >= budget:
+            return near(some)
+    return near(pairs)
+
+
 def dynamic(scheduled: DataFrame, groups: list[str], scheme: str = "COMPOSITE", compat: bool = False) -> DataFrame:
     """Verification order when each related pair boosts the queued pairs of its source and its target.
 
