@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tilewright import queries as Q
-from tilewright import queries_more  # noqa: F401  registers its queries
-from tilewright.operators import progressive
+from tilewright import queries_more as QM
+from tilewright.operators import balance, progressive
 
 
 def _plan(df):
@@ -13,7 +13,7 @@ def _plan(df):
 
 def test_candidates_are_never_broadcast(spark, data):
     """The files are small, but their rows for each tile need not be."""
-    for name in ("pair_weights", "fine_pairs", "indexed_pairs", "polygons_by_kernel", "points_by_kernel"):
+    for name in ("pair_weights", "fine_pairs", "indexed_pairs", "polygons_by_kernel", "points_by_kernel", "executed_batches"):
         assert "BroadcastHashJoin" not in _plan(Q.QUERIES[name](spark, data)), name
 
 
@@ -61,3 +61,37 @@ def test_top_pairs_of_entities_come_from_the_best_of_all(spark, monkeypatch):
             got = progressive.schedule(pairs, algorithm, budget, 40, 40).orderBy("rank")
             assert [(r.s_id, r.t_id) for r in got.collect()] == want[:budget], (algorithm, taken)
             assert max(sizes) <= max(taken, budget) or taken < 4 * budget
+
+
+def _touching(spark):
+    return spark.range(400).select((F.col("id") % 7).alias("t_id"), F.col("id").alias("s_id"), F.sequence(F.col("id") % 3, F.col("id") % 3 + F.col("id") % 4).alias("segments"))
+
+
+def test_sets_are_balanced_by_their_sizes_alone(spark):
+    """Counts give what lists give, and each set's sources are never listed."""
+    pairs, limits = _touching(spark), {"average": 40, "buffer": 15}
+    told = lambda df: sorted((r.t_id, tuple(r.segment_set), tuple(r["into"])) for r in df.collect())
+    listed, counted = (balance.balanced_sets(f(pairs), **limits) for f in (balance.segment_sets, balance.set_sizes))
+    assert told(listed) == told(counted)
+    assert any(a != b for _, a, b in told(counted))
+    assert "collect_list" not in _plan(balance.set_sizes(pairs))
+
+
+def test_batches_make_their_pairs_once(spark):
+    pairs = _touching(spark)
+    rows = balance.segment_batches(pairs, batch=4)
+    assert _plan(rows).count("Range (") == 1
+    got = sorted((r.t_id, s, tuple(r.segment_set)) for r in rows.collect() for s in r.s_ids)
+    assert got == sorted((r.t_id, r.s_id, tuple(r.segments)) for r in pairs.collect())
+
+
+def test_costs_are_counted_once(spark, data, monkeypatch):
+    seen, real = [], balance.written
+    monkeypatch.setattr(balance, "written", lambda df, name: seen.append(name) or real(df, name))
+    pairs = QM._candidates(spark, data)
+    _, skewed = balance.split_skewed(pairs, 1.0)
+    assert seen == ["costs"]
+    cost = {r.t_id: r.cost for r in balance.costs(pairs).collect()}
+    mean = sum(cost.values()) / len(cost)
+    sd = (sum((c - mean) ** 2 for c in cost.values()) / len(cost)) ** 0.5
+    assert {r.t_id for r in skewed.collect()} == {t for t, c in cost.items() if c > mean + sd}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import envelope as E
+from ..plans.scratch import written
 
 
 def costs(pairs: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def costs(pairs: DataFrame) -> DataFrame:
 
 def split_skewed(pairs: DataFrame, limit: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """(cheap, skewed): pairs of targets whose cost's z-score (population deviation) is above `limit` are skewed."""
-    by = costs(pairs)
+    by = written(costs(pairs), "costs")
     r = by.agg(F.avg("cost").alias("mean"), F.stddev_pop("cost").alias("sd")).first()
     sd = r["sd"] or 0.0
     heavy = by.where((F.col("cost") - F.lit(r["mean"] or 0.0)) / F.lit(sd) > limit) if sd else by.limit(0)
@@ -29,12 +30,14 @@ def redistribute(pairs: DataFrame, partitions: int) -> DataFrame:
 
 
 def segment_batches(pairs: DataFrame, batch: int = 256) -> DataFrame:
-    """Sources grouped by the set of target segments that they touch (`segments`), `batch` of them at a time."""
-    ready = pairs.withColumn("segment_set", F.array_sort("segments"))
-    salted = ready.withColumn("salt", F.pmod(F.xxhash64("s_id"), F.lit(1 << 16)))
-    counted = ready.groupBy("t_id", "segment_set").agg(F.ceil(F.count("*") / batch).alias("batches"))
-    joined = salted.join(counted, ["t_id", "segment_set"]).withColumn("batch", F.pmod(F.col("salt"), F.col("batches")))
-    return joined.groupBy("t_id", "segment_set", "batch").agg(F.collect_list("s_id").alias("s_ids"))
+    """Sources grouped by the set of target segments that they touch (`segments`), `batch` of them at a time.
+
+    A window counts each set's sources, so the pairs are made and dealt once.
+    """
+    ready = pairs.select("t_id", "s_id", F.sort_array("segments").alias("segment_set"))
+    batches = F.ceil(F.count("*").over(Window.partitionBy("t_id", "segment_set")) / batch)
+    dealt = ready.withColumn("batch", F.pmod(F.pmod(F.xxhash64("s_id"), F.lit(1 << 16)), batches))
+    return dealt.groupBy("t_id", "segment_set", "batch").agg(F.collect_list("s_id").alias("s_ids"))
 
 
 def segment_sets(pairs: DataFrame) -> DataFrame:
@@ -42,19 +45,25 @@ def segment_sets(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("t_id", F.array_sort("segments").alias("segment_set")).agg(F.sort_array(F.collect_list("s_id")).alias("s_ids"))
 
 
+def set_sizes(pairs: DataFrame) -> DataFrame:
+    """`segment_sets` with the number of sources (`n`) in place of the sources, counted before the shuffle."""
+    return pairs.groupBy("t_id", F.sort_array("segments").alias("segment_set")).agg(F.count("*").alias("n"))
+
+
 def balanced_sets(sets: DataFrame, points: int = 1, average: int = 20_000, buffer: int = 5_000) -> DataFrame:
-    """`segment_sets` with `into`: a set whose cost (sources times segments times `points`) is under average - buffer moves its sources
+    """`segment_sets` or `set_sizes` with `into`: a set whose cost (sources times segments times `points`) is under average - buffer moves its sources
     into the cheapest set of the target that holds one segment more, as long as both cost less than average + buffer.
 
     So small sets are verified together, against some segments that they don't touch.
     """
-    cost = F.size("s_ids") * F.size("segment_set") * points
+    sets = written(sets, "sets")
+    cost = (F.col("n") if "n" in sets.columns else F.size("s_ids")) * F.size("segment_set") * points
     small = sets.withColumn("cost", cost).where(F.col("cost") < average - buffer)
     wider = sets.select("t_id", F.col("segment_set").alias("wider"), cost.alias("wider_cost"))
-    near = small.join(wider, "t_id").where((F.size("wider") == F.size("segment_set") + 1) & (F.size(F.array_except("segment_set", "wider")) == 0))
+    near = small.join(wider.hint("merge"), "t_id").where((F.size("wider") == F.size("segment_set") + 1) & (F.size(F.array_except("segment_set", "wider")) == 0))
     total = F.col("cost") + F.col("wider_cost")
     chosen = near.where(total < average + buffer).groupBy("t_id", "segment_set").agg(F.min_by("wider", F.struct("wider_cost", "wider")).alias("into"))
-    return sets.join(chosen, ["t_id", "segment_set"], "left").withColumn("into", F.coalesce("into", "segment_set"))
+    return sets.join(chosen.hint("merge"), ["t_id", "segment_set"], "left").withColumn("into", F.coalesce("into", "segment_set"))
 
 
 def execute_batches(batches: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
@@ -63,7 +72,7 @@ def execute_batches(batches: DataFrame, source: DataFrame, target: DataFrame) ->
 
     rows = batches.select("t_id", F.explode("s_ids").alias("s_id"))
     side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    return interlink.verify(rows.join(side(source, "s"), "s_id").join(side(target, "t"), "t_id"))
+    return interlink.verify(rows.join(side(source, "s").hint("merge"), "s_id").join(side(target, "t").hint("merge"), "t_id"))
 
 
 def borders(parts: DataFrame, t: E.Theta | None = None) -> DataFrame:
