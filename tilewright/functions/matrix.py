@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ def relations(im: Column, ds: Column, dt: Column) -> dict[str, Column]:
     }
 
 
+def named(im: str, ds: int, dt: int) -> dict[str, bool]:
+    """`relations` of one matrix, without Spark."""
+    full = [c != "F" for c in im]
+    fits = lambda pattern: re.search(pattern, im) is not None
+    met = not fits("^FF.FF")
+    crosses = full[0] and full[2] if ds < dt else full[0] and full[6] if ds > dt else ds == dt == 1 and im[0] == "0"
+    return {
+        "contains": fits("^[012].....FF.$"),
+        "coveredby": met and fits("^..F..F...$"),
+        "covers": met and fits("^......FF.$"),
+        "crosses": crosses,
+        "equals": ds == dt and fits("^[012].F..FFF.$"),
+        "intersects": met,
+        "overlaps": ds == dt and (im[0] == "1" if ds == 1 else full[0]) and full[2] and full[6],
+        "touches": not ds == dt == 0 and not full[0] and (full[1] or full[3] or full[4]),
+        "within": fits("^[012].F..F...$"),
+        "disjoint": not met,
+    }
+
+
 def with_relations(pairs: DataFrame) -> DataFrame:
     """`pairs` (im, s_dim, t_dim) with a boolean column for each of the nine relations."""
     found = relations(F.col("im"), F.col("s_dim"), F.col("t_dim"))

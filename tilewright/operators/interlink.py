@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import envelope as E
 from ..functions import matrix as M
+from ..functions import orders
+from ..plans.scratch import written
 
 #: Each grid level's tiles are so many times wider than those of the level below.
 LEVEL = 4
@@ -127,15 +129,62 @@ def _sure_boxes(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.when(F.col("s_is_box") & F.col("t_is_box"), True).otherwise(missing))
 
 
+def formed(entities: DataFrame) -> DataFrame:
+    """Entities (env, wkb) with `fills`: true if the geometry is all of its envelope, else null; never null in the schema if all are.
+
+    They are written once, so that their WKB is made and looked at once, whatever the branches of a plan.
+    """
+    if "wkb" not in entities.columns or "fills" in entities.columns:
+        return entities
+
+    @F.pandas_udf("boolean")
+    def run(raw, x1, y1, x2, y2):
+        import pandas as pd
+
+        columns = (raw, x1, y1, x2, y2)
+        return pd.Series([(r is not None and orders.fills(bytes(r), *e)) or None for r, *e in zip(*columns, strict=True)], dtype=object)
+
+    out = written(entities.withColumn("fills", run("wkb", *[f"env.{c}" for c in ("minx", "miny", "maxx", "maxy")])), "formed")
+    return out if out.where("fills is null").head(1) else out.withColumn("fills", F.lit(True))
+
+
+def _formed(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (source, target) if source.isStreaming or target.isStreaming else (formed(source), formed(target))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """`pairs` with `order` (see functions.orders), null where a geometry isn't all of its envelope; not nullable if all are."""
+    if not {"s_fills", "t_fills"} <= set(pairs.columns):
+        return pairs
+    number = orders.order(F.col("s_env"), F.col("t_env"))
+    if pairs.schema["s_fills"].nullable or pairs.schema["t_fills"].nullable:
+        return pairs.withColumn("order", F.when(F.col("s_fills") & F.col("t_fills"), number))
+    return pairs.withColumn("order", number)
+
+
 def verify(pairs: DataFrame) -> DataFrame:
-    """`pairs` with `im`: by columns alone for boxes (s_is_box, t_is_box), else by the exact kernel on Arrow batches of WKB.
+    """`pairs` with `im`: by columns alone for boxes (s_is_box, t_is_box), else by the exact kernel.
 
-    Without WKB every entity must be a box; a pair with another one fails.
+    The kernel runs on Arrow batches of WKB; for entities that are all of their envelope (s_fills, t_fills; see `formed`) it has
+    judged each order of their coordinates. Without WKB every entity must be a box; a pair with another one fails.
     """
-    boxes = {"s_is_box", "t_is_box"} <= set(pairs.columns)
+    return _judged(pairs).drop("order")
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """`verify`, and `order` where entities have `fills`."""
     if _boxes_only(pairs):
         return _sure_boxes(pairs).withColumn("im", E.box_matrix(F.col("s_env"), F.col("t_env")))
-    plain = pairs.where("s_is_box and t_is_box").withColumn("im", E.box_matrix(F.col("s_env"), F.col("t_env"))) if boxes else None
+    pairs = _ordered(pairs)
+    sure, im = F.lit(False), F.lit(None).cast("string")
+    if {"s_is_box", "t_is_box"} <= set(pairs.columns):
+        sure, im = F.coalesce(F.col("s_is_box") & F.col("t_is_box"), F.lit(False)), E.box_matrix(F.col("s_env"), F.col("t_env"))
+    if "order" in pairs.columns:
+        seen = orders.matrix_of(F.col("order"))
+        if not (pairs.schema["s_fills"].nullable or pairs.schema["t_fills"].nullable):
+            return pairs.withColumn("im", seen)
+        known = F.col("order").isNotNull()
+        sure, im = known | sure, F.when(known, seen).otherwise(im)
 
     @F.pandas_udf("string")
     def kernel(s, t):
@@ -148,23 +197,37 @@ def verify(pairs: DataFrame) -> DataFrame:
         shapes = dict(zip(raw, G.prepared([G.from_wkb(x) for x in raw]), strict=True))  # each geometry of the batch once
         return pd.Series([G.relate_shapes(shapes[a], shapes[b]) for a, b in zip(left, right, strict=True)])
 
-    rest = pairs.where("not (s_is_box and t_is_box)") if boxes else pairs
+    quick = {"s_is_box", "order"} & set(pairs.columns)
+    rest = pairs.where(~sure) if quick else pairs
     # The kernel takes longer than a shuffle of its input, and a join with a small side leaves pairs in the few partitions
     # of a scan: a target's pairs go to 16 places, so that a task still meets most geometries more than once.
     dealt = rest.repartition(F.col("t_id"), F.pmod(F.xxhash64("s_id"), F.lit(16)))
     checked = dealt.withColumn("im", kernel.asNondeterministic()("s_wkb", "t_wkb"))  # so that no filter above runs it again
-    return plain.unionByName(checked) if boxes else checked
+    return pairs.where(sure).withColumn("im", im).unionByName(checked) if quick else checked
 
 
-def de9im(source: DataFrame, target: DataFrame, t: E.Theta | Grid, **options) -> DataFrame:
-    """Verified pairs (source_id, target_id, im and a boolean for each relation)."""
-    pairs = candidates(source, target, t, **options)
+def with_relations(pairs: DataFrame) -> DataFrame:
+    """`pairs` verified, with `im` and a boolean for each relation."""
+    judged, drop = _judged(pairs), []
     if _boxes_only(pairs):
         found = E.box_relations(F.col("s_env"), F.col("t_env"))
-        named = verify(pairs).withColumns({n: found[n] for n in M.NAMES})
     else:
-        named = M.with_relations(verify(pairs))
-    return named.select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"), "im", "s_dim", "t_dim", *M.NAMES)
+        found = M.relations(F.col("im"), F.col("s_dim"), F.col("t_dim"))
+        if "order" in judged.columns:
+            judged, drop = judged.withColumn("bits", orders.bits_of(F.col("order"))), ["order", "bits"]
+            seen = orders.relations_of(F.col("bits"))
+            if pairs.schema["s_fills"].nullable or pairs.schema["t_fills"].nullable:
+                found = {n: F.when(F.col("bits").isNotNull(), seen[n]).otherwise(found[n]) for n in M.NAMES}
+            else:  # such geometries meet if their envelopes do, which a filter of pairs can ask before anything else
+                found = seen | {"intersects": E.intersects(F.col("s_env"), F.col("t_env"))}
+    return judged.withColumns({n: found[n] for n in M.NAMES}).drop(*drop)
+
+
+def de9im(source: DataFrame, target: DataFrame, t: E.Theta | Grid, **options) -> DataFrame:
+    """Verified pairs (source_id, target_id, im and a boolean for each relation)."""
+    source, target = _formed(source, target)
+    pairs = candidates(source, target, t, **options)
+    return with_relations(pairs).select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"), "im", "s_dim", "t_dim", *M.NAMES)
 
 
 def relate(source: DataFrame, target: DataFrame, relation: str, t: E.Theta | Grid, **options) -> DataFrame:
@@ -176,6 +239,7 @@ def relate(source: DataFrame, target: DataFrame, relation: str, t: E.Theta | Gri
         met = relate(source, target, "intersects", t, **options)
         every = source.select(F.col("id").alias("source_id")).crossJoin(target.select(F.col("id").alias("target_id")))
         return every.join(met, ["source_id", "target_id"], "left_anti")
+    source, target = _formed(source, target)
     pairs = candidates(source, target, t, relation=relation, **options)
     if _boxes_only(pairs):
         good = _sure_boxes(pairs).where(E.box_relations(F.col("s_env"), F.col("t_env"))["intersects" if relation == "DE9IM" else relation])
@@ -193,7 +257,7 @@ def relate_decomposed(pairs: DataFrame) -> DataFrame:
     edge = lambda d: F.when(F.col(d) == 0, "F").otherwise((F.col(d) - 1).cast("string"))
     apart = F.concat(F.lit("FF"), F.col("s_dim").cast("string"), F.lit("FF"), edge("s_dim"), F.col("t_dim").cast("string"), edge("t_dim"), F.lit("2"))
     # A closed line has no boundary, so lines that are apart still go to the kernel.
-    sure = ~near & (F.col("s_dim") != 1) & (F.col("t_dim") != 1)
+    sure = (F.col("s_dim") != 1) & (F.col("t_dim") != 1) & ~near
     return verify(pairs.where(~sure)).unionByName(pairs.where(sure).withColumn("im", apart))
 
 

@@ -61,8 +61,8 @@ def segments(spark, d):
 
 
 def _with_wkb(df: DataFrame) -> DataFrame:
-    """Entities with WKB of their box, or of `wkt` if they have it."""
-    e = F.col("env")
+    """Entities with WKB of their box, or of `wkt` if they have it; dealt to all tasks first, as few files may hold them."""
+    df, e = df.repartition("id"), F.col("env")
     box = F.format_string("POLYGON ((%s %s, %s %s, %s %s, %s %s, %s %s))", *[e[c] for p in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny")) for c in p])
     return df.withColumn("wkb", readers.parsed(F.col("wkt") if "wkt" in df.columns else box)["wkb"]).drop("wkt")
 
