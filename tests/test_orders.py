@@ -9,7 +9,7 @@ from tilewright import queries_more  # noqa: F401  registers its queries with th
 from tilewright.functions import geometry as G
 from tilewright.functions import matrix as M
 from tilewright.functions import orders
-from tilewright.operators import interlink
+from tilewright.operators import decompose, interlink
 from tilewright.sources import readers
 
 FILLING = ("POINT (1 2)", "LINESTRING (1 2, 5 2)", "LINESTRING (1 7, 1 2)", "POLYGON ((0 0, 0 3, 4 3, 4 0, 0 0))", "POLYGON ((4 3, 0 3, 0 0, 4 0, 4 3))")
@@ -78,3 +78,13 @@ def test_no_pair_takes_its_wkb_along(spark, data):
         plan = Q.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" not in plan and "wkb" not in plan.split("Scan parquet")[0], name
         assert plan.count("Exchange hashpartitioning") == 2, name
+
+
+def test_parts_are_asked_only_for_the_kernel(spark, data):
+    """Pairs of such entities are made once, and have the matrices that their parts and the kernel give."""
+    plan = Q.QUERIES["decomposed_links"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "ArrowEvalPython" not in plan
+    s, z = (interlink.formed(decompose.with_fine_envelopes(Q._with_wkb(df).withColumn("is_box", F.lit(False)), queries_more.EIGHT)) for df in (Q.segments(spark, data), Q.zones(spark, data)))
+    pairs = interlink.candidates(s, z, interlink.grid(z, s))
+    told = lambda p: sorted(tuple(r) for r in interlink.relate_decomposed(p).select("s_id", "t_id", "im").collect())
+    assert told(pairs) == told(pairs.drop("s_fills", "t_fills"))

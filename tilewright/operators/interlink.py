@@ -253,6 +253,8 @@ def relate_decomposed(pairs: DataFrame) -> DataFrame:
 
     The others are disjoint, and their matrix follows from the dimensions. Same result as `verify`.
     """
+    if {"s_fills", "t_fills"} <= set(pairs.columns) and not (pairs.schema["s_fills"].nullable or pairs.schema["t_fills"].nullable):
+        return verify(pairs)  # no pair needs the kernel, so none is made twice or tested by parts
     near = E.fine_intersects(F.col("s_env"), F.col("t_env"), F.col("s_envs"), F.col("t_envs"))
     edge = lambda d: F.when(F.col(d) == 0, "F").otherwise((F.col(d) - 1).cast("string"))
     apart = F.concat(F.lit("FF"), F.col("s_dim").cast("string"), F.lit("FF"), edge("s_dim"), F.col("t_dim").cast("string"), edge("t_dim"), F.lit("2"))
