@@ -1,5 +1,7 @@
 """What large tables need: joins without broadcasts, schedules without a sort of all pairs, balance without lists."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tilewright import queries as Q
@@ -17,6 +19,25 @@ def test_candidates_are_never_broadcast(spark, data):
         assert "BroadcastHashJoin" not in _plan(Q.QUERIES[name](spark, data)), name
 
 
+def test_most_pairs_of_a_tile_are_only_compared(spark, data):
+    """Whether envelopes meet is asked before which tile answers, and tiles of one level need no power."""
+    for name in ("pair_weights", "fine_pairs", "points_by_kernel"):
+        join = _plan(Q.QUERIES[name](spark, data)).split("SortMergeJoin", 1)[1].split("\n")[0]
+        assert "<=" in join and join.index("<=") < join.index("FLOOR") and "POWER" not in join, name
+
+
+def test_weights_are_compiled(spark, data):
+    """The JVM never compiles a method of over 8000 bytes, which made a pair's weights take twenty times as long."""
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = Q.QUERIES["pair_weights"](spark, data)._jdf.queryExecution().executedPlan()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000
+
+
 def _rows(spark, n=40):
     """Pairs with many ties of their weight."""
     return spark.range(n * n).select((F.col("id") % n).alias("s_id"), F.floor(F.col("id") / n).alias("t_id"), F.struct((F.pmod(F.xxhash64("id"), F.lit(5)) / 5.0).alias("a")).alias("rank_key"))

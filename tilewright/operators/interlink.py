@@ -54,6 +54,11 @@ def _level(env: Column, t: E.Theta, most: int) -> Column:
     return F.least(F.greatest(F.ceil(F.log(span) / F.log(F.lit(float(LEVEL)))) - 1, F.lit(0)), F.lit(most)).cast("int")
 
 
+def _factor(level: Column, levels: list[int]) -> Column:
+    """How many times wider a level's tiles are than those of level 0."""
+    return F.pow(F.lit(float(LEVEL)), level) if levels[-1] else F.lit(1.0)
+
+
 def _tiled(df: DataFrame, t: E.Theta, levels: list[int], source: bool) -> DataFrame:
     """Rows for each tile of an entity on its own level and on those in use above it, in lanes.
 
@@ -67,7 +72,7 @@ def _tiled(df: DataFrame, t: E.Theta, levels: list[int], source: bool) -> DataFr
     lanes = F.when(own, F.array(F.lit(0))).otherwise(F.array(F.lit(1))) if source else F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     if len(levels) == 1:
         lanes = F.array(F.lit(0))
-    factor = F.pow(F.lit(float(LEVEL)), F.col("grid"))
+    factor = _factor(F.col("grid"), levels)
     e = F.col("env")
     r = F.struct(
         F.floor(e["minx"] / (factor * t.x)).alias("x1"), F.floor(e["miny"] / (factor * t.y)).alias("y1"), F.floor(e["maxx"] / (factor * t.x)).alias("x2"), F.floor(e["maxy"] / (factor * t.y)).alias("y2")
@@ -100,17 +105,17 @@ def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation
         used = list(range((sides.agg(F.max("level")).first()[0] or 0) + 1))
     s, u = _prefixed(_tiled(source, t, used, True), "s_"), _prefixed(_tiled(target, t, used, False), "t_")
     a, b = F.col("s_env"), F.col("t_env")
-    factor = F.pow(F.lit(float(LEVEL)), F.col("s_grid"))
+    factor = _factor(F.col("s_grid"), used)
     once = (F.floor(F.greatest(a["minx"], b["minx"]) / (factor * t.x)) == F.col("s_tx")) & (F.floor(F.greatest(a["miny"], b["miny"]) / (factor * t.y)) == F.col("s_ty"))
     met = (F.col("s_lane") == F.col("t_lane")) & (F.col("s_grid") == F.col("t_grid")) & (F.col("s_tx") == F.col("t_tx")) & (F.col("s_ty") == F.col("t_ty"))
-    test = E.intersects(a, b)
+    test = E.intersects(a, b) & once  # comparisons first: most pairs of a tile fail them
     if relation not in ("touches", "DE9IM"):
         test = test & E.check(a, b, relation)
     if temporal:
         test = test & E.near_days(F.col("s_ts"), F.col("t_ts"))
     if fine:
         test = test & E.fine_intersects(a, b, F.col("s_envs"), F.col("t_envs"))
-    pairs = s.hint("merge").join(u, met & once & test)
+    pairs = s.hint("merge").join(u, met & test)
     return pairs.drop(*[f"{p}{c}" for p in "st" for c in ("_level", "_grid", "_lane", "_tx", "_ty")])
 
 

@@ -34,19 +34,20 @@ def weight(name: str, t: E.Theta, blocks: float, compat: bool = False) -> Column
     a, b = F.col("s_env"), F.col("t_env")
     cb = E.common_tiles(a, b, t).cast("double")
     sb, tb = E.tile_count(a, t).cast("double"), E.tile_count(b, t).cast("double")
+    either = sb + tb - cb  # tiles of the source or the target
     if name == "JS":
-        share = F.when(sb + tb - cb != 0, cb / (sb + tb - cb)).otherwise(0.0)
+        share = F.when(either != 0, cb / either).otherwise(0.0)
         return F.floor(share).cast("double") if compat else share
     if name == "PEARSON_X2":
-        v00, v01, v10 = cb, tb - cb, sb - cb
-        v11 = F.floor(F.lit(float(blocks)) - (v00 + v01 + v10))
-        n = v00 + v01 + v10 + v11
-        rows, cols = (v00 + v01, v10 + v11), (v00 + v10, v01 + v11)
+        # Sums are of whole numbers, so exact in any order; the shortest are taken, as the JVM never compiles a method of over 8000 bytes.
+        v01, v10, v11 = tb - cb, sb - cb, F.floor(F.lit(float(blocks)) - either).cast("double")
+        rows, cols = (tb, v10 + v11), (sb, v01 + v11)
+        n = tb + rows[1]
         total = F.lit(0.0)
-        for i, j, v in ((0, 0, v00), (0, 1, v01), (1, 0, v10), (1, 1, v11)):
+        for i, j, v in ((0, 0, cb), (0, 1, v01), (1, 0, v10), (1, 1, v11)):
             expected = rows[i] * cols[j] / n
-            total = total + (v - expected) * (v - expected) / expected
-        sound = (v00 >= 0) & (v01 >= 0) & (v10 >= 0) & (v11 >= 0) & (rows[0] > 0) & (rows[1] > 0) & (cols[0] > 0) & (cols[1] > 0)
+            total = total + F.pow(v - expected, F.lit(2.0)) / expected
+        sound = (cb >= 0) & (v01 >= 0) & (v10 >= 0) & (v11 >= 0) & (rows[0] > 0) & (rows[1] > 0) & (cols[0] > 0) & (cols[1] > 0)
         return F.when(sound, total).otherwise(0.0)
     if name == "MBRO":
         inner = E.area(E.common(a, b))
