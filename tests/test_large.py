@@ -2,11 +2,13 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tilewright import queries as Q
 from tilewright import queries_more as QM
-from tilewright.operators import balance, progressive
+from tilewright.functions import envelope as E
+from tilewright.operators import balance, interlink, progressive
 
 
 def _plan(df):
@@ -26,16 +28,31 @@ def test_most_pairs_of_a_tile_are_only_compared(spark, data):
         assert "<=" in join and join.index("<=") < join.index("FLOOR") and "POWER" not in join, name
 
 
-def test_weights_are_compiled(spark, data):
-    """The JVM never compiles a method of over 8000 bytes, which made a pair's weights take twenty times as long."""
-    spark.conf.set("spark.sql.adaptive.enabled", False)
-    try:
-        plan = Q.QUERIES["pair_weights"](spark, data)._jdf.queryExecution().executedPlan()
-        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
-    assert sizes and max(sizes) <= 8000
+def test_pairs_are_compiled(spark, data):
+    """The JVM never compiles a method of over 8000 bytes, and Spark no join with lambdas; pairs then take many times as long."""
+    for name in ("pair_weights", "fine_pairs"):
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        try:
+            plan = Q.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan()
+            code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        joins = [p for p in code.split("== Subtree") if "SortMergeJoin" in p.split("Generated code")[0]]
+        assert joins and all(int(n) <= 8000 for p in joins for n in re.findall(r"maxMethodCodeSize:(\d+)", p)), name
+
+
+def test_parts_known_to_be_few(spark):
+    """The same as by lambdas, for no part to two; more than told are an error, never left out."""
+    box = lambda x: E.box(x, F.lit(0.0), x + F.pmod("id", F.lit(3)), F.lit(2.0))
+    envs = F.slice(F.array(box(F.col("x")), box(F.col("x") + 6)), F.lit(1), F.pmod("id", F.lit(4)).cast("int") % 3)
+    of = lambda k: spark.range(40).withColumn("x", (F.col("id") * k % 23).cast("double")).select("id", E.box(F.col("x"), F.lit(0.0), F.col("x") + 9, F.lit(2.0)).alias("env"), envs.alias("envs"))
+    theta, a, b = E.Theta(4.0, 4.0), F.col("s_envs"), F.col("t_envs")
+    told = lambda pairs, n: sorted(str(tuple(r)) for r in pairs.select("s_id", "t_id", E.first_meeting(a, b, n), *E.fine_reference_point(F.col("s_env"), F.col("t_env"), a, b, theta, n), E.fine_common_tiles(a, b, theta, n)).collect())
+    s, t = of(7), of(11)
+    found = told(interlink.candidates(s, t, theta, fine=True), 0)
+    assert found and found == told(interlink.candidates(s, t, theta, fine=True, parts=2), 2)
+    with pytest.raises(Exception, match="more than 1 parts"):
+        interlink.candidates(s, t, theta, fine=True, parts=1).collect()
 
 
 def _rows(spark, n=40):

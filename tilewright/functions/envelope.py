@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,13 +102,23 @@ def kind(a: Column, b: Column) -> Column:
     return F.when(~intersects(a, b), "RANK0").when(contains(a, b) | contains(b, a), "RANK3").when(level, "RANK1").otherwise("RANK2")
 
 
-def fine_intersects(a: Column, b: Column, parts_a: Column, parts_b: Column) -> Column:
-    """The envelopes and some pair of their parts intersect."""
+def _each(parts_a: Column, parts_b: Column, most: int) -> list[tuple[Column, Column, Column]]:
+    """(source, target, do they intersect) for the pairs of up to `most` parts each, targets outermost; no lambda, so that they are compiled."""
+    of = lambda parts: [F.get(parts, F.lit(i)) for i in range(most)]
+    return [(p, q, F.coalesce(intersects(p, q), F.lit(False))) for q in of(parts_b) for p in of(parts_a)]
+
+
+def fine_intersects(a: Column, b: Column, parts_a: Column, parts_b: Column, most: int = 0) -> Column:
+    """The envelopes and some pair of their parts intersect. `most`, here and below: no entity has more parts (0: not known)."""
+    if most:
+        return intersects(a, b) & reduce(or_, [hit for _, _, hit in _each(parts_a, parts_b, most)])
     return intersects(a, b) & F.exists(parts_a, lambda p: F.exists(parts_b, lambda q: intersects(p, q)))
 
 
-def first_meeting(parts_a: Column, parts_b: Column) -> Column:
+def first_meeting(parts_a: Column, parts_b: Column, most: int = 0) -> Column:
     """The first pair (source, target) of parts that intersect, targets outermost; null if there is none."""
+    if most:
+        return F.coalesce(*[F.when(hit, F.struct(p.alias("source"), q.alias("target"))) for p, q, hit in _each(parts_a, parts_b, most)])
     pairs = F.flatten(F.transform(parts_b, lambda q: F.transform(F.filter(parts_a, lambda p: intersects(p, q)), lambda p: F.struct(p.alias("source"), q.alias("target")))))
     return F.get(pairs, F.lit(0))
 
@@ -183,19 +195,21 @@ def tiles_meet(a: Column, b: Column, tiles_a: Column, tiles_b: Column) -> Column
     return intersects(a, b) & F.arrays_overlap(tiles_a, tiles_b)
 
 
-def fine_common_tiles(parts_a: Column, parts_b: Column, theta: Theta) -> Column:
+def fine_common_tiles(parts_a: Column, parts_b: Column, theta: Theta, most: int = 0) -> Column:
     """Common tiles summed over all pairs of parts that intersect, without the one more per axis."""
     def one(p: Column, q: Column) -> Column:
         x = F.least(F.ceil(p["maxx"] / theta.x), F.ceil(q["maxx"] / theta.x)) - F.greatest(F.floor(p["minx"] / theta.x), F.floor(q["minx"] / theta.x))
         y = F.least(F.ceil(p["maxy"] / theta.y), F.ceil(q["maxy"] / theta.y)) - F.greatest(F.floor(p["miny"] / theta.y), F.floor(q["miny"] / theta.y))
         return F.when(intersects(p, q), x * y).otherwise(F.lit(0).cast("bigint"))
 
+    if most:
+        return reduce(add, [one(p, q) for p, q, _ in _each(parts_a, parts_b, most)])
     return F.aggregate(F.flatten(F.transform(parts_a, lambda p: F.transform(parts_b, lambda q: one(p, q)))), F.lit(0).cast("bigint"), lambda n, c: n + c)
 
 
-def fine_reference_point(a: Column, b: Column, parts_a: Column, parts_b: Column, theta: Theta) -> tuple[Column, Column]:
+def fine_reference_point(a: Column, b: Column, parts_a: Column, parts_b: Column, theta: Theta, most: int = 0) -> tuple[Column, Column]:
     """`reference_point` of the first parts that meet, of the envelopes if none do."""
-    pair = first_meeting(parts_a, parts_b)
+    pair = first_meeting(parts_a, parts_b, most)
     return tuple(F.coalesce(p, q) for p, q in zip(reference_point(pair["source"], pair["target"], theta), reference_point(a, b, theta), strict=True))
 
 

@@ -84,7 +84,7 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation: str = "DE9IM", temporal: bool = False, fine: bool = False, levels: int = 6) -> DataFrame:
+def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation: str = "DE9IM", temporal: bool = False, fine: bool = False, levels: int = 6, parts: int = 0) -> DataFrame:
     """Pairs of entities (id, env, ...) whose envelopes can have `relation`: columns s_* and t_*, each pair once.
 
     Both sides are dealt to the tiles of a grid in levels, large entities to wide tiles, so no entity has more than a
@@ -93,7 +93,8 @@ def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation
     bare tile size a pass over the sides finds them, over the source alone if the target is a stream.
     Both sides are shuffled: Spark judges a side by its files' size, which says nothing of its rows for each tile, and
     would send millions of them through the driver.
-    `temporal`: entities must lie less than two days apart (`ts`); `fine`: some of their parts (`envs`) must meet.
+    `temporal`: entities must lie less than two days apart (`ts`); `fine`: some of their parts (`envs`) must meet; `parts`: no entity has
+    more of them, an entity that has fails (0: not known).
     """
     if relation == "disjoint":
         raise ValueError("disjoint entities share no tile; relate(..., 'disjoint') makes all other pairs")
@@ -103,6 +104,8 @@ def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation
         level = _level(F.col("env"), t, levels).alias("level")
         sides = source.select(level) if target.isStreaming else source.select(level).union(target.select(level))
         used = list(range((sides.agg(F.max("level")).first()[0] or 0) + 1))
+    if fine and parts:
+        source, target = (df.where(F.when(F.coalesce(F.size("envs") <= parts, F.lit(True)), True).otherwise(F.raise_error(F.lit(f"an entity has more than {parts} parts")).cast("boolean"))) for df in (source, target))
     s, u = _prefixed(_tiled(source, t, used, True), "s_"), _prefixed(_tiled(target, t, used, False), "t_")
     a, b = F.col("s_env"), F.col("t_env")
     factor = _factor(F.col("s_grid"), used)
@@ -114,7 +117,7 @@ def candidates(source: DataFrame, target: DataFrame, t: E.Theta | Grid, relation
     if temporal:
         test = test & E.near_days(F.col("s_ts"), F.col("t_ts"))
     if fine:
-        test = test & E.fine_intersects(a, b, F.col("s_envs"), F.col("t_envs"))
+        test = test & E.fine_intersects(a, b, F.col("s_envs"), F.col("t_envs"), parts)
     pairs = s.hint("merge").join(u, met & test)
     return pairs.drop(*[f"{p}{c}" for p in "st" for c in ("_level", "_grid", "_lane", "_tx", "_ty")])
 
