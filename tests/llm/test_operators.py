@@ -35,6 +35,26 @@ def odd(spark):
     return df.withColumn("key", F.lit("x")).cache()
 
 
+@pytest.mark.parametrize("most", [1 << 16, 300, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SETTLED", most)
+    rng = random.Random(5)
+    ids = rng.sample(range(-(2**61), 2**61), 900)
+    links = [*zip(ids[:300], ids[1:301]), *[(ids[400], i) for i in ids[401:600]], *[(ids[0], ids[0])], *[(b, a) for a, b in zip(ids[700:], ids[701:])], (ids[700], ids[701])]
+    groups = [ids[:301], ids[400:600], ids[700:]]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    assert sorted(map(tuple, common.components(df).collect())) == sorted((i, min(g)) for g in groups for i in g)
+    assert common.components(df.where("a = b")).collect() == []
+
+
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch):
+    tables, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: tables.append(name) or write(df, name))
+    path = spark.range(500).selectExpr("id a", "id + 1 b")
+    assert {r.component for r in common.components(path).collect()} == {0}
+    assert tables == ["edges", "components"]
+
+
 @pytest.mark.parametrize("most", [1, 4, 300, 5000])
 def test_first_by_hash(spark, most):
     rows = spark.range(4000).withColumnRenamed("id", "k")

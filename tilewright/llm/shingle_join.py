@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, prepare, slices, written
+from .common import Groups, components, discard, prepare, slices, written
 from .words import mix, split_words
 
 U = np.uint64
@@ -104,27 +104,6 @@ def rarest(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[np
     return tokens[keep], owner[keep]
 
 
-class Groups:
-    """Union-find over places."""
-
-    def __init__(self, n: int):
-        self.up, self.left = list(range(n)), n
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        self.left -= 1
-        return True
-
-
 def merge_skip(lists: list[list[int]], least: int):
     """Pairs (id, count) of the ids that stand in `least` or more of some ascending lists: a heap merge that skips.
 
