@@ -133,3 +133,11 @@ def test_costs_are_counted_once(spark, data, monkeypatch):
     mean = sum(cost.values()) / len(cost)
     sd = (sum((c - mean) ** 2 for c in cost.values()) / len(cost)) ** 0.5
     assert {r.t_id for r in skewed.collect()} == {t for t, c in cost.items() if c > mean + sd}
+
+
+def test_interiors_of_boxes_meet_as_the_matrix_says(spark):
+    rows = [(a, a + w, b, b + v) for a in range(6) for w in (1, 3) for b in range(6) for v in (1, 3)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    x = df.select(E.box(F.lit(2.0), F.lit(2.0), F.lit(4.0), F.lit(4.0)).alias("s"), E.box(*[F.col(c).cast("double") for c in "acbd"]).alias("t")).where(E.intersects(F.col("s"), F.col("t")))
+    told = x.select(E.inner(F.col("s"), F.col("t")).alias("inner"), E.box_matrix(F.col("s"), F.col("t")).startswith("2").alias("im")).collect()
+    assert {r.inner for r in told} == {True, False} and all(r.inner == r.im for r in told)

@@ -61,6 +61,11 @@ def intersects(a: Column, b: Column) -> Column:
     return (a["minx"] <= b["maxx"]) & (a["maxx"] >= b["minx"]) & (a["miny"] <= b["maxy"]) & (a["maxy"] >= b["miny"])
 
 
+def inner(a: Column, b: Column) -> Column:
+    """The interiors of two boxes meet, as the first place of `box_matrix` tells (2)."""
+    return (a["minx"] < b["maxx"]) & (a["maxx"] > b["minx"]) & (a["miny"] < b["maxy"]) & (a["maxy"] > b["miny"])
+
+
 def contains(a: Column, b: Column) -> Column:
     return (a["minx"] <= b["minx"]) & (a["maxx"] >= b["maxx"]) & (a["miny"] <= b["miny"]) & (a["maxy"] >= b["maxy"])
 

@@ -280,7 +280,8 @@ _STEPS = "ranked AS (SELECT *, row_number() OVER (ORDER BY js DESC, source_id, t
 
 @query(f"{WEIGHED}, {_STEPS}, total AS (SELECT count(*) FILTER (WHERE related) AS n FROM cells) SELECT CAST(b AS BIGINT) AS budget, count(*) AS verified, CAST(sum(q) AS BIGINT) AS qualifying, round(sum(q) / least(any_value(n), count(*)), 9) AS recall, round(sum(q) / count(*), 9) AS precision, round(sum(found) / (least(any_value(n), count(*)) * count(*)), 9) AS pgr FROM run, total, (VALUES (100), (200), (300)) v(b) WHERE r <= b GROUP BY b")
 def schedule_quality(spark, d):
-    total = _weighed(spark, d).where(~(E.common(F.col("s_env"), F.col("t_env"))["minx"] == E.common(F.col("s_env"), F.col("t_env"))["maxx"]) & ~(E.common(F.col("s_env"), F.col("t_env"))["miny"] == E.common(F.col("s_env"), F.col("t_env"))["maxy"])).count()
+    s, t = parcels(spark, d), targets(spark, d)
+    total = interlink.candidates(s, t, interlink.grid(s, t)).where(E.inner(F.col("s_env"), F.col("t_env"))).count()
     out = progressive.evaluate(_verified(spark, d), [100, 200, 300], total)
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "precision", "pgr")})
 
