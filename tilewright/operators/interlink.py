@@ -214,9 +214,9 @@ def _judged(pairs: DataFrame) -> DataFrame:
     return pairs.where(sure).withColumn("im", im).unionByName(checked) if quick else checked
 
 
-def with_relations(pairs: DataFrame) -> DataFrame:
-    """`pairs` verified, with `im` and a boolean for each relation."""
-    judged, drop = _judged(pairs), []
+def with_relations(pairs: DataFrame, by_parts: bool = False) -> DataFrame:
+    """`pairs` verified, with `im` and a boolean for each relation; `by_parts`: as `relate_decomposed` does."""
+    judged, drop = _judged_by_parts(pairs) if by_parts else _judged(pairs), []
     if _boxes_only(pairs):
         found = E.box_relations(F.col("s_env"), F.col("t_env"))
     else:
@@ -261,14 +261,19 @@ def relate_decomposed(pairs: DataFrame) -> DataFrame:
 
     The others are disjoint, and their matrix follows from the dimensions. Same result as `verify`.
     """
+    return _judged_by_parts(pairs).drop("order")
+
+
+def _judged_by_parts(pairs: DataFrame) -> DataFrame:
+    """`relate_decomposed`, and `order` where entities have `fills`."""
     if {"s_fills", "t_fills"} <= set(pairs.columns) and not (pairs.schema["s_fills"].nullable or pairs.schema["t_fills"].nullable):
-        return verify(pairs)  # no pair needs the kernel, so none is made twice or tested by parts
+        return _judged(pairs)  # no pair needs the kernel, so none is made twice or tested by parts
     near = E.fine_intersects(F.col("s_env"), F.col("t_env"), F.col("s_envs"), F.col("t_envs"))
     edge = lambda d: F.when(F.col(d) == 0, "F").otherwise((F.col(d) - 1).cast("string"))
     apart = F.concat(F.lit("FF"), F.col("s_dim").cast("string"), F.lit("FF"), edge("s_dim"), F.col("t_dim").cast("string"), edge("t_dim"), F.lit("2"))
     # A closed line has no boundary, so lines that are apart still go to the kernel.
     sure = (F.col("s_dim") != 1) & (F.col("t_dim") != 1) & ~near
-    return verify(pairs.where(~sure)).unionByName(pairs.where(sure).withColumn("im", apart))
+    return _judged(pairs.where(~sure)).unionByName(_ordered(pairs.where(sure)).withColumn("im", apart))
 
 
 def rule_based(pairs: DataFrame) -> DataFrame:
