@@ -114,3 +114,32 @@ def test_relations_by_parts(spark):
         pairs = interlink.candidates(s, t, interlink.grid(s, t))
         told = lambda **by: sorted(tuple(r) for r in interlink.with_relations(pairs, **by).select("s_id", "t_id", "im", *M.NAMES).collect())
         assert told() == told(by_parts=True)
+
+
+def test_an_order_is_cast_once_for_each_axis(spark):
+    """A checked cast of each sign takes longer than all the rest of a pair."""
+    box = lambda n: E.box(*[F.col(f"{n}{i}") for i in range(4)])
+    frame = spark.createDataFrame([(0.0,) * 8], ", ".join(f"{n}{i} double" for n in "ab" for i in range(4)))
+    plan = frame.select(orders.order(box("a"), box("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(") == 2
+
+
+def test_finer_envelopes_are_made_only_for_the_kernel(spark, data, monkeypatch):
+    """Lines and boxes that are all of their envelope get none; with other geometries, all entities have them."""
+    seen, real = [], interlink.written
+    monkeypatch.setattr(interlink, "written", lambda df, name: seen.append(df.columns) or real(df, name))
+    plan = Q.QUERIES["decomposed_links"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 2 and "envs" not in [*seen[0], *seen[1]] and "ArrowEvalPython" not in plan
+    for df in interlink.formed_in_parts(_entities(spark, [*FILLING, *OTHER]), _entities(spark, FILLING), E.Theta(1.0, 1.0)):
+        assert "envs" in seen[-1] and df.count() and df.where("envs is null or size(envs) = 0").count() == 0
+
+
+def test_rectangles_are_valid_at_once():
+    """Rings of four edges along the axes that turn at each corner, and no others."""
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]
+    for k in range(4):
+        turned = ring[k:] + ring[:k]
+        for r in (turned, turned[::-1]):
+            assert G._is_rectangle([*r, r[0]]) and G.is_valid(("POLYGON", [[[*r, r[0]]]]))
+    for bad in ([(0, 0), (1, 0), (3, 0), (2, 0)], [(0, 0), (4, 0), (4, 0), (0, 0)], [(0, 0), (4, 3), (4, 0), (0, 3)], [(0, 0), (4, 0), (0, 0), (4, 0)]):
+        assert not G._is_rectangle([*bad, bad[0]]) and not G.is_valid(("POLYGON", [[[*bad, bad[0]]]]))

@@ -83,11 +83,14 @@ def _table(values, kind: str) -> Column:
 
 def order(a: Column, b: Column) -> Column:
     """The number of the order of two envelopes' coordinates: the place in `judged`."""
-    sign = lambda p, q: F.signum(p - q).cast("int") + 1
+    sign = lambda p, q: F.signum(p - q)
+    flag = lambda c, n: F.when(c, F.lit(n)).otherwise(F.lit(0))
 
     def axis(low: str, high: str) -> Column:
         a1, a2, b1, b2 = a[low], a[high], b[low], b[high]
-        k = (((sign(a1, b1) * 3 + sign(a1, b2)) * 3 + sign(a2, b1)) * 3 + sign(a2, b2)) * 4 + (a1 == a2).cast("int") * 2 + (b1 == b2).cast("int")
+        # The signs are added up as doubles and cast once: a checked cast of each takes longer than all the rest of a pair.
+        signs = (sign(a1, b1) * 27.0 + sign(a1, b2) * 9.0 + sign(a2, b1) * 3.0 + sign(a2, b2)) * 4.0 + 160.0
+        k = signs.cast("int") + flag(a1 == a2, 2) + flag(b1 == b2, 1)
         return F.get(_table(_axis()[0], "int"), k)
 
     return axis("minx", "maxx") * len(_axis()[1]) + axis("miny", "maxy")

@@ -12,6 +12,7 @@ from ..functions import envelope as E
 from ..functions import matrix as M
 from ..functions import orders
 from ..plans.scratch import written
+from . import decompose
 
 #: Each grid level's tiles are so many times wider than those of the level below.
 LEVEL = 4
@@ -160,6 +161,17 @@ def _formed(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]
     return (source, target) if source.isStreaming or target.isStreaming else (formed(source), formed(target))
 
 
+def formed_in_parts(source: DataFrame, target: DataFrame, t: E.Theta) -> tuple[DataFrame, DataFrame]:
+    """Both sides `formed`, with finer envelopes (`envs`).
+
+    If all entities are all of their envelope no plan asks for `envs`, so none are made; else they are written once as well.
+    """
+    sides = [formed(df) for df in (source, target)]
+    fine = [decompose.with_fine_envelopes(df, t) for df in sides]
+    source, target = [written(df, "parts") for df in fine] if any(df.schema["fills"].nullable for df in sides) else fine
+    return source, target
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """`pairs` with `order` (see functions.orders), null where a geometry isn't all of its envelope; not nullable if all are."""
     if not {"s_fills", "t_fills"} <= set(pairs.columns):
